@@ -67,4 +67,4 @@ def unique_name(taken: Iterable[str], base: str) -> str:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input in bytes (file sizes for tables read from files), at least 1."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexloom.llm import exact_dedup, mixing, packing, secrets, token_output
+from lexloom.llm import exact_dedup, mixing, packing, secrets, sharding, simhash, token_output
 
 QUERIES = {
+    "op1_shard": sharding.op1_shard,
+    "op4_simhash": simhash.op4_simhash,
     "op5_token_output": token_output.op5_token_output,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_pack": packing.op7_pack,
