@@ -4,4 +4,4 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "normalize"
