@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import input_bytes, materialize, read, small_enough
 
-WINDOW, ROUNDS, CHUNK = 20, 6, 1_000_000
+WINDOW, ROUNDS, CHUNK = 20, 6, 400_000
 #: Bytes of input files to a bucket of anchors; its rows take about twice as much.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
 NULL_ID = np.iinfo(np.int64).min
 U = np.uint64
 _rng = np.random.default_rng(40)
@@ -293,12 +293,12 @@ def settle(table: pa.Table) -> pa.Table:
 
 
 def repeated_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id and its removed word ranges, an array of (from, to); written. A null doc_id is NULL_ID here."""
+    """doc_id and its removed word ranges, an array of from * 2**32 + to; written. A null doc_id is NULL_ID here."""
     buckets = max(LEAST_BUCKETS, -(-input_bytes(docs) // bucket_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = rows.mapInArrow(emit(buckets), "bucket long, rows binary, hashes binary")
     ranges = packed.groupBy("bucket").applyInArrow(settle, "_id long, _crc long, _from long, _to long")
-    found = ranges.groupBy("_id", "_crc").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
+    found = ranges.groupBy("_id", "_crc").agg(F.collect_list(F.shiftleft("_from", 32) + F.col("_to")).alias("_ranges"))
     return materialize(found, "ranges")
 
 
@@ -309,10 +309,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, ranges in zip(batch.column("text").cast(pa.binary()), batch.column("_ranges")):
             words = (t.as_py() or b"").split()
             left, at = [], 0
-            for r in sorted((r["_from"], r["_to"]) for r in ranges.as_py() or ()):
-                if r[0] > at:
-                    left += words[at : r[0]]
-                at = max(at, r[1])
+            for r in sorted(ranges.as_py() or ()):
+                if r >> 32 > at:
+                    left += words[at : r >> 32]
+                at = max(at, r & 0xFFFFFFFF)
             left += words[at:]
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
