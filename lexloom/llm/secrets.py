@@ -52,8 +52,10 @@ RULES = BASE + MORE
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, list[str]]:
     """(postings of text keys by trigram number, the trigrams by number)."""
     named = sorted({t for r in rules for clause in trigram_query(r.pattern) or () for t in clause})
-    low = F.lower(F.col("_text"))
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text")).select(
+    low = F.col("_low")
+    # a generator of one row: else the optimizer would lower-case the text once for each trigram
+    texts = docs.select(F.inline(F.array(F.struct(F.coalesce("text", F.lit("")).alias("_text"), F.lower(F.coalesce("text", F.lit(""))).alias("_low")))))
+    rows = texts.select(
         F.xxhash64("_text").alias("_key"),
         F.array_compact(F.array(*(F.when(low.contains(t), F.lit(i)) for i, t in enumerate(named)), F.lit(None).cast("int"))).alias("_ts"),
     )
