@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import read
-from lexloom.llm.tokens import encoder, texts_of
+from lexloom.llm.tokens import encoder, slices
 
 CAPACITY, GROUP = 1024, 131_072
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -33,19 +33,20 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, end_id, 4)
         for batch in batches:
-            for at, texts in texts_of(batch):
-                keys = batch.column("doc_id").slice(at, len(texts))
-                doc, piece, start, ids = [], [], [], []
-                for i, raw in enumerate(encode(texts)):
-                    n = len(raw) // 4
-                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        doc.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        ids.append(raw[4 * a : 4 * b])
+            for some in slices(batch):
+                ids, bounds = encode(some.column("text"))
+                n = np.diff(bounds)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (n - (pieces - 1) * capacity)[doc]  # the first piece is what the full ones leave
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                length = np.where(piece == 0, head, capacity)
+                # pieces tile the ids
+                offsets = np.r_[0, np.cumsum(length)].astype(np.int32) * 4
+                raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [some.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 

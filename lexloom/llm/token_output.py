@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import materialize, new_path, read
-from lexloom.llm.tokens import encoder, texts_of
+from lexloom.llm.tokens import encoder, slices
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("n", "<i8")])
 PARTS = pa.schema([("part", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -57,16 +57,14 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         store.create_dir(path, recursive=True)
         with store.open_output_stream(f"{path}/{name}.ids") as ids_file, store.open_output_stream(f"{path}/{name}.docs") as docs_file:
             for batch in batches:
-                keys = batch.column("doc_id")
-                for at, texts in texts_of(batch):
-                    found = encode(texts)
-                    entries = np.zeros(len(texts), ENTRY)
-                    some = keys.slice(at, len(texts))
-                    entries["null"], entries["doc_id"] = some.is_null().to_numpy(False), some.fill_null(0).to_numpy()
-                    entries["n"] = [len(b) // width for b in found]
-                    ids_file.write(b"".join(found))
+                for some in slices(batch):
+                    ids, bounds = encode(some.column("text"))
+                    keys, entries = some.column("doc_id"), np.zeros(len(some), ENTRY)
+                    entries["null"], entries["doc_id"] = keys.is_null().to_numpy(False), keys.fill_null(0).to_numpy()
+                    entries["n"] = np.diff(bounds)
+                    ids_file.write(ids.tobytes())
                     docs_file.write(entries.tobytes())
-                    docs_seen, ids_seen = docs_seen + len(texts), ids_seen + int(entries["n"].sum())
+                    docs_seen, ids_seen = docs_seen + len(some), ids_seen + len(ids)
         if docs_seen:
             yield pa.RecordBatch.from_arrays([[part], [name], [docs_seen], [ids_seen]], schema=PARTS)
 
