@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
-#: A side is broadcast only up to so many rows, counted first; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only up to so many rows and bytes of files, measured first; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a written table, so that counting reads footers only) with a broadcast hint if it has few rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table, so that counting reads footers only) with a broadcast hint if it's small, else as it is."""
+    return F.broadcast(df) if input_bytes(df) <= size and df.count() <= rows else df
 
 
 def lower_ascii(text: Column) -> Column:

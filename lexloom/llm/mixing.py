@@ -143,7 +143,8 @@ def mix(placed: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
     at = F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("_start"))
     end = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("_start"))
     pieces = pieces.select("_row", "_src", "block", at.alias("at"), (end - at).alias("length"))
-    return chosen.join(pieces, ["_src", "block"])
+    # a size estimate that knows nothing of the exploded ranges would broadcast the slots
+    return pieces.hint("merge").join(chosen, ["_src", "block"])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
