@@ -1,7 +1,244 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and their SQL. Each runs over its whole tables and texts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexloom.functions import native as N
+from lexloom.functions import plain as P
+from lexloom.functions.columns import lift, spans
+from lexloom.operators import integrity, retrieval
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
 FLAGSHIP = "normalize"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scalar(name: str, value: Callable[[Column], Column], sql: str | None = None, table: str = "documents", key: str = "doc_id", column: str = "text") -> None:
+    """A query (key, value) of one column's function over a whole table."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read(spark, sf_dir, table).select(key, value(F.col(column)).alias("value"))
+
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = f"SELECT {key}, {sql} AS value FROM {table}"
+
+
+# --- cleanup
+_SPACE = r"[\t-\r\x{1c}-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NORM = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'),
+  '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A{_SPACE}+|{_SPACE}+\z', '', 'g')"""
+scalar("normalize", N.normalize, _NORM)
+scalar("finalize", lambda t: N.finalize(t)["sha256"], f"sha256({_NORM})")
+scalar("strip_controls", N.strip_controls, r"regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g')")
+scalar("nfc", N.nfc, "nfc_normalize(text)")
+for _n in ("nfd", "nfkc", "nfkd"):
+    scalar(_n, getattr(N, _n))
+scalar("strip_accents", N.strip_accents, "strip_accents(text)")
+scalar("collapse_whitespace", N.collapse_whitespace, rf"regexp_replace(regexp_replace(text, '{_SPACE}+', ' ', 'g'), '\A | \z', '', 'g')")
+scalar("apply_pipeline", lambda t: N.collapse_whitespace(N.strip_accents(F.lower(t))), rf"regexp_replace(regexp_replace(strip_accents(lower(text)), '{_SPACE}+', ' ', 'g'), '\A | \z', '', 'g')")
+scalar("html_unescape", lambda t: lift(P.html_unescape, "string", t), table="pages", key="page_id", column="html")
+scalar("dedent", lambda t: lift(P.dedent, "string", t))
+
+# --- codecs
+scalar("decode_utf8", lambda t: N.decode_utf8(F.encode(t, "UTF-8")), "text")
+scalar("finalize_utf8", lambda t: N.finalize(N.decode_utf8(F.encode(t, "UTF-8"), "replace"))["sha256"], f"sha256({_NORM})")
+scalar("utf8_is_valid", lambda t: N.utf8_is_valid(F.encode(t, "UTF-8")), "text IS NOT NULL")
+scalar("decode_utf16", lambda t: lift(P.decode_utf16, "string", F.encode(t, "UTF-16LE"), byteorder="little"), "text")
+scalar("utf16_is_valid", lambda t: lift(P.utf16_is_valid, "boolean", F.encode(t, "UTF-16LE"), byteorder="little"), "text IS NOT NULL")
+scalar("b64_encode_bytes", lambda t: N.b64_encode_bytes(F.encode(t, "UTF-8")), "base64(encode(text))")
+scalar("b64_decode", lambda t: F.decode(lift(P.b64_decode, "binary", N.b64_encode_bytes(F.encode(t, "UTF-8"))), "UTF-8"), "text")
+scalar("utf8_byte_len", N.utf8_byte_len, "strlen(text)::INTEGER")
+scalar("utf16_byte_len", N.utf16_byte_len, r"(2 * length(text) + 2 * length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INTEGER")
+scalar("detect_encoding", lambda t: lift(P.detect_encoding, "string", F.encode(t, "UTF-8")), "'UTF-8'")
+scalar("find_unescaped", lambda t: lift(P.find_unescaped, "int", F.encode(t, "UTF-8"), needle=b'"'), column="props", table="events", key="event_id")
+scalar("contains_unescaped", lambda t: lift(P.contains_unescaped, "boolean", F.encode(t, "UTF-8"), needle=b'"'), column="props", table="events", key="event_id", sql="contains(props, '\"')")
+scalar("quote", N.quote, "replace(url_encode(text), '%2F', '/')")
+scalar("quote_plus", N.quote_plus, "replace(url_encode(text), '%20', '+')")
+scalar("unquote", lambda t: lift(P.unquote, "string", N.quote(t)), "text")
+scalar("unquote_plus", lambda t: lift(P.unquote_plus, "string", N.quote_plus(t)), "text")
+
+# --- hashes
+for _k in ("md5", "sha1", "sha256"):
+    scalar(f"{_k}_hex", lambda t, k=_k: N.digest_hex(k, t), f"{_k}(text)")
+    scalar(f"{_k}_digest", lambda t, k=_k: N.b64_encode_bytes(N.digest(k, t)), f"base64(unhex({_k}(text)))")
+scalar("sha512_hex", lambda t: N.digest_hex("sha512", t))
+scalar("sha512_digest", lambda t: N.b64_encode_bytes(N.digest("sha512", t)))
+scalar("hmac_sha256_hex", lambda t: N.hmac_sha256_hex(F.lit("key"), t))
+scalar("hmac_sha256_digest", lambda t: N.b64_encode_bytes(F.unhex(N.hmac_sha256_hex(F.lit("key"), t))))
+scalar("content_hash", lambda t: lift(P.content_hash, "string", t), table="events", key="event_id", column="props")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("chunk"))
+
+
+QUERIES["merkle_root"] = lambda spark, d: integrity.merkle_root(_chunks(spark, d))
+ORACLE["merkle_root"] = """
+WITH RECURSIVE t(lvl, i, h, n) AS (
+  SELECT 0, n_nationkey::BIGINT, sha256('\\x00'::BLOB || encode(n_name)), count(*) OVER () FROM nation
+  UNION ALL
+  SELECT lvl + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(min_by(h, i)) || unhex(max_by(h, i))) ELSE min(h) END, (any_value(n) + 1) // 2
+  FROM t WHERE n > 1 GROUP BY lvl, i // 2)
+SELECT h AS root FROM t WHERE n = 1"""
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "orders")
+    a = rows.select(F.col("o_orderkey").alias("idx"), F.col("o_orderstatus").alias("chunk"))
+    return integrity.merkle_diff(a, rows.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("idx"), F.lit("F").alias("chunk")))
+
+
+QUERIES["merkle_diff"] = _diff
+ORACLE["merkle_diff"] = "SELECT o_orderkey AS idx FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority = '5-LOW'"
+
+# --- segments and cuts
+scalar("grapheme_count", N.grapheme_count, "length_grapheme(text)::INTEGER")
+scalar("tokens", N.tokens, f"regexp_extract_all(lower(text), '{N.TOKEN.replace(chr(39), chr(39) * 2)}')")
+scalar("word_bounds", lambda t: spans(P.word_bounds, t))
+scalar("word_count", lambda t: lift(P.word_count, "int", t))
+scalar("sentence_bounds", lambda t: spans(P.sentence_bounds, t))
+scalar("sentence_count", lambda t: lift(P.sentence_count, "int", t))
+for _f, _kw in (("chunk_by_words", {"n": 100, "overlap": 10}), ("chunk_by_sentences", {"n": 5}), ("chunk_by_lines", {"n": 3, "overlap": 1}), ("chunk_by_paragraphs", {"n": 2}), ("chunk_text", {"max_chars": 400})):
+    scalar(_f, lambda t, f=_f, kw=_kw: spans(getattr(P, f), t, **kw))
+scalar("truncate_to_bounds", lambda t: lift(P.truncate_to_bounds, "string", t, max_chars=80))
+scalar("truncate_ellipsis", lambda t: lift(P.truncate_ellipsis, "string", t, max_chars=80), "CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END")
+
+# --- patterns, JSON, fences
+_PATTERNS = {"the": "THE", "then": "THEN", "licensed under": "(c)", "Apache License": "AL"}
+scalar("find_patterns", lambda t: lift(lambda x: [{"start": a, "end": b, "pattern": i} for a, b, i in P.matcher(list(_PATTERNS))(x)], "array<struct<start:int,end:int,pattern:int>>", t))
+scalar("count_matches", lambda t: F.regexp_count(t, F.lit("licensed under|Apache License|then|the")), "len(regexp_extract_all(text, 'licensed under|Apache License|then|the'))::INTEGER")
+scalar("replace_many", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS))
+scalar("replace_many_masked", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS, mask="*"))
+scalar("first_invalid_charset", lambda t: lift(P.first_invalid_charset, "int", F.array(t), rest="abcdefghijklmnopqrstuvwxyz0123456789_", first="abcdefghijklmnopqrstuvwxyz"), column="event_type", table="events", key="event_id", sql="CASE WHEN regexp_full_match(event_type, '[a-z][a-z0-9_]*') THEN -1 ELSE 0 END::INTEGER")
+scalar("json_is_valid", lambda t: lift(P.json_is_valid, "boolean", t), "json_valid(props)", "events", "event_id", "props")
+scalar("extract_code_blocks", lambda t: lift(lambda x: [{"lang": a, "code": b, "start": c, "end": d} for a, b, c, d in P.extract_code_blocks(x)], "array<struct<lang:string,code:string,start:int,end:int>>", t), table="conversations", key="conv_id, turn".split(",")[0])
+scalar("strip_code_fences", lambda t: lift(P.strip_code_fences, "string", t))
+
+
+# --- pairs: every customer's name beside that of the next key
+def pair(name: str, value: Callable[[Column, Column], Column], sql: str | None = None) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("a"))
+        d = c.select((F.col("c_custkey") - 7).alias("c_custkey"), F.col("a").alias("b"))
+        return c.join(d, "c_custkey").select("c_custkey", value(F.col("a"), F.col("b")).alias("value"))
+
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = f"SELECT c_custkey, {sql} AS value FROM (SELECT x.c_custkey, x.c_name AS a, y.c_name AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 7)"
+
+
+pair("levenshtein", N.levenshtein, "levenshtein(a, b)::INTEGER")
+pair("jaro", lambda a, b: F.round(lift(P.jaro, "double", a, b), 9), "round(jaro_similarity(a, b), 9)")
+pair("jaro_winkler", lambda a, b: F.round(lift(P.jaro_winkler, "double", a, b), 9), "round(jaro_winkler_similarity(a, b), 9)")
+pair("similarity_ratio", lambda a, b: lift(P.similarity_ratio, "double", a, b))
+pair("shingle_jaccard", lambda a, b: lift(P.shingle_jaccard, "double", a, b, width=1))
+pair("shingle_dice", lambda a, b: lift(P.shingle_dice, "double", a, b, width=1))
+pair("is_grounded", lambda a, b: F.contains(b, a), "contains(b, a)")
+pair("soundex", lambda a, b: F.soundex(F.regexp_replace(a, "[^A-Za-z]", "")))
+pair("refined_soundex", lambda a, b: lift(P.refined_soundex, "string", a))
+
+# --- near duplicates
+_signed = lambda x: x - (1 << 64) if x >> 63 else x
+scalar("simhash64", lambda t: lift(lambda x: _signed(P.simhash(x)), "long", t))
+scalar("simhash128", lambda t: lift(lambda x: format(P.simhash(x, 128), "032x"), "string", t))
+
+
+def _distance(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select("event_id", F.xxhash64("props").alias("a"), F.xxhash64("event_type").alias("b"))
+    return rows.select("event_id", N.simhash_distance(F.col("a"), F.col("b")).alias("value"))
+
+
+QUERIES["simhash_distance"] = _distance
+
+
+def _lsh(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.round(N.lsh_probability(F.least(F.col("value") / 1000, F.lit(1.0)), 16, 8), 9).alias("value"))
+
+
+QUERIES["lsh_probability"] = _lsh
+ORACLE["lsh_probability"] = "SELECT event_id, round(1 - pow(1 - pow(least(value / 1000, 1.0), 8), 16), 9) AS value FROM events"
+QUERIES["lsh_threshold"] = lambda spark, d: spark.range(1).select(F.round(F.lit(N.lsh_threshold(16, 8)), 9).alias("value"))
+ORACLE["lsh_threshold"] = "SELECT round(pow(1 / 16.0, 1 / 8.0), 9) AS value"
+QUERIES["chunk_overlap_cost"] = lambda spark, d: read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(N.chunk_overlap_cost(F.col("l_discount")), 9).alias("value"))
+ORACLE["chunk_overlap_cost"] = "SELECT l_orderkey, l_linenumber, round(1 / (1 - l_discount), 9) AS value FROM lineitem"
+
+# --- retrieval
+_TOK = N.TOKEN.replace("'", "''")
+
+
+def _tf_idf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.tf_idf(read(spark, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+QUERIES["tf_idf"] = _tf_idf
+ORACLE["tf_idf"] = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOK}')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term)
+SELECT doc_id, term, tf, df, round(tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1), 6) AS score FROM c JOIN f USING (term)"""
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_rank(read(spark, d, "documents"), "licensed under the license").withColumn("score", F.round("score", 6))
+
+
+QUERIES["bm25_rank"] = _bm25
+ORACLE["bm25_rank"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOK}') AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+q AS (SELECT unnest(['licensed', 'under', 'the', 'license']) AS term),
+m AS (SELECT doc_id, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, q),
+f AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM m GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 6) AS score
+FROM m JOIN f USING (term), s GROUP BY doc_id"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """For each region's nations' customers: a list per market segment, by balance."""
+    c = read(spark, d, "customer")
+    by = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return c.select(F.col("c_mktsegment").alias("list_id"), F.row_number().over(by).alias("pos"), F.col("c_nationkey").alias("id"), F.col("c_acctbal").alias("score"))
+
+
+_LISTS = """l AS (SELECT c_mktsegment AS list_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS pos, c_nationkey AS id, c_acctbal AS score FROM customer),
+g AS (SELECT list_id, id, min(pos) AS pos, arg_min(score, pos) AS score FROM l GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY list_id) AS n,
+      min(score) OVER (PARTITION BY list_id) AS lo, max(score) OVER (PARTITION BY list_id) AS hi FROM g)"""
+_SCALED = "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END"
+for _name, _build, _expr in (
+    ("rank_fuse", retrieval.rank_fuse, "sum(1.0::DOUBLE / (60 + rank))"),
+    ("score_fuse_combmnz", lambda x: retrieval.score_fuse(x, "combmnz"), f"sum({_SCALED}) * count(*)"),
+    ("score_fuse_linear", lambda x: retrieval.score_fuse(x, "linear"), f"sum({_SCALED})"),
+    ("score_fuse_borda", lambda x: retrieval.score_fuse(x, "borda"), "sum(n - rank + 1)::DOUBLE"),
+):
+    QUERIES[_name] = lambda spark, d, b=_build: b(_lists(spark, d)).withColumn("score", F.round("score", 6))
+    ORACLE[_name] = f"WITH {_LISTS} SELECT id, round({_expr}, 6) AS score FROM f GROUP BY id"
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    ranked = docs.select(F.col("lang").alias("list_id"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("doc_id").alias("id"))
+    gains = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("gain"))
+    out = retrieval.metrics(ranked, gains, 50)
+    return out.select("list_id", *(F.round(c, 6).alias(c) for c in ("mrr", "recall", "precision", "ndcg")))
+
+
+QUERIES["ranking_metrics"] = _metrics
+ORACLE["ranking_metrics"] = """
+WITH r AS (SELECT lang AS list_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+g AS (SELECT doc_id FROM labels WHERE quality = 1), h AS (SELECT r.*, g.doc_id IS NOT NULL AS rel FROM r LEFT JOIN g USING (doc_id))
+SELECT list_id, round(coalesce(1.0 / min(rank) FILTER (WHERE rel), 0), 6) AS mrr,
+  round(count(*) FILTER (WHERE rel AND rank <= 50) / (SELECT count(*) FROM g), 6) AS recall,
+  round(count(*) FILTER (WHERE rel AND rank <= 50) / 50, 6) AS precision,
+  round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel AND rank <= 50), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 51) t(i) WHERE i <= (SELECT count(*) FROM g)), 6) AS ndcg
+FROM h GROUP BY list_id"""
