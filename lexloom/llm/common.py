@@ -65,6 +65,19 @@ def unique_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input in bytes (file sizes for tables read from files), at least 1."""
     return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

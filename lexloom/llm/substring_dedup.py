@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import input_bytes, materialize, read, small_enough
+from lexloom.llm.common import input_bytes, materialize, read, release
 
 WINDOW, ROUNDS, CHUNK = 20, 6, 400_000
 #: Bytes of input files to a bucket of anchors; its rows take about twice as much.
@@ -248,6 +248,7 @@ def emit(buckets: int, window: int = WINDOW):
                     ids, texts, size = [], [], 0
         if ids:
             yield from flush(ids, texts)
+        release()
 
     return run
 
@@ -328,7 +329,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = repeated_ranges(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = (F.coalesce("doc_id", F.lit(int(NULL_ID))) == F.col("_id")) & (F.coalesce(F.crc32("text"), F.lit(0)) == F.col("_crc"))
-    joined = rows.join(small_enough(found), same, "left").select("doc_id", "text", "_ranges")
+    # a hint keeps one plan at every size: texts meet their ranges by shuffle
+    joined = rows.hint("merge").join(found, same, "left").select("doc_id", "text", "_ranges")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
