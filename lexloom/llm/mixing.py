@@ -17,12 +17,15 @@ repeated rows are documents of their own; an empty table or one without words gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, materialize, read, small_enough
+from lexloom.llm.common import WORD, materialize, read, release
 
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, SHARDS, SEED, ROWS_PER_BUCKET = 128, 64, 20, 4_096
@@ -168,23 +171,34 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = materialize(rows, "numbered")
     sizes = rows.select("_row", F.col("_doc.source").alias("source"), n_words("_doc.text").alias("size"))
     placed, sources = place(materialize(sizes, "sizes"))
-    spans = mix(placed, sources).groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("_spans"))
+    spans = mix(placed, sources).groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.shiftleft("at", 32) + F.col("length"))).alias("_spans"))
     spans = materialize(spans, "spans")
-    together = rows.join(small_enough(spans), "_row")
-    taken = together.withColumn("_text", F.pandas_udf(_taken_text, "string")("_doc.text", "_spans"))
+    # a hint keeps one plan at every size: a document's rows meet its spans by shuffle
+    together = rows.hint("merge").join(spans.select("_row", "_spans"), "_row")
+    kind = together.schema["_doc"].dataType.simpleString()
+    taken = together.select("_doc", "_spans").mapInArrow(_taken_text, f"_doc {kind}, _text string")
     out = [F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_doc")[c].alias(c) for c in columns]
     return taken.select(*out)
 
 
-def _taken_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    def one(t: str, parts) -> str:
+def _taken_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_doc, _spans: at * 2**32 + length) -> (_doc, _text), some rows at a time."""
+
+    def one(t: str, parts: list[int]) -> str:
         ends = [m.span() for m in WORD.finditer(t)]
         runs: list[list[int]] = []
         for p in parts:
-            if runs and runs[-1][1] == p["at"]:
-                runs[-1][1] += p["length"]
+            at, n = p >> 32, p & 0xFFFFFFFF
+            if runs and runs[-1][1] == at:
+                runs[-1][1] += n
             else:
-                runs.append([p["at"], p["at"] + p["length"]])
+                runs.append([at, at + n])
         return "\n".join(t[ends[a][0] : ends[b - 1][1]] for a, b in runs)
 
-    return pd.Series([one(t, p) for t, p in zip(text, spans)])
+    for batch in batches:
+        for i in range(0, len(batch), 1_000):
+            some = batch.slice(i, 1_000)
+            docs = some.column("_doc")
+            texts = [one(t.as_py(), p.as_py()) for t, p in zip(docs.field("text"), some.column("_spans"))]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(texts, pa.string())], ["_doc", "_text"])
+    release()

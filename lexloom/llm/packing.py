@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import read
+from lexloom.llm.common import read, release
 from lexloom.llm.tokens import encoder, slices
 
 CAPACITY, GROUP = 1024, 131_072
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
                     [some.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

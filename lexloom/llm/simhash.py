@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, read, small_enough
+from lexloom.llm.common import materialize, read, release, small_enough
 from lexloom.llm.components import components
 
 BITS, SHINGLE, SEED, FAN, LARGE = 2, 3, 42, 16, 100_000
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         for batch in batches:
             f = np.fromiter((fingerprint(t.as_py()) for t in batch.column("_text")), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), pa.array(f.view(np.int64))], ["doc_id", *extra, "_f"])
+        release()
 
     types = dict(rows.dtypes)
     return materialize(rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ("doc_id", *extra)) + ", _f long"), "fingerprints")

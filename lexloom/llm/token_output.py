@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, new_path, read
+from lexloom.llm.common import materialize, new_path, read, release
 from lexloom.llm.tokens import encoder, slices
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("n", "<i8")])
@@ -65,6 +65,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     ids_file.write(ids.tobytes())
                     docs_file.write(entries.tobytes())
                     docs_seen, ids_seen = docs_seen + len(some), ids_seen + len(ids)
+        release()
         if docs_seen:
             yield pa.RecordBatch.from_arrays([[part], [name], [docs_seen], [ids_seen]], schema=PARTS)
 

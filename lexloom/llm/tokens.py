@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that the memo holds at most; beyond, it forgets those that only one batch had.
-MEMO = 400_000
+MEMO = 250_000
 
 
 #: Latin letters (but I with dot, whose lower case has a mark), then ASCII marks.
