@@ -31,9 +31,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     """doc_id, piece, start, length and ids (32-bit little-endian) of every piece; only the first may be short."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, end_id, 4)
+        encode = encoder(vocabulary, end_id, 4, 150_000)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 3 << 20):
                 ids, bounds = encode(some.column("text"))
                 n = np.diff(bounds)
                 pieces = -(-n // capacity)
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
                     [some.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
-        release()
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that the memo holds at most; beyond, it forgets those that only one batch had.
-MEMO = 250_000
+#: Pieces that the memo holds at most unless told otherwise; beyond, it forgets those that only one batch had.
+MEMO = 400_000
 
 
 #: Latin letters (but I with dot, whose lower case has a mark), then ASCII marks.
@@ -35,7 +35,7 @@ def _odd(piece: str) -> bool:
 class Encoder:
     """Texts -> ids as unsigned integers of 2 or 4 bytes; `end_id` follows each text."""
 
-    def __init__(self, path: str, end_id: int, width: int = 4):
+    def __init__(self, path: str, end_id: int, width: int = 4, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,6 +44,7 @@ class Encoder:
         if max(self.tokenizer.get_vocab_size() - 1, end_id) >= 1 << 8 * width:
             raise ValueError(f"ids don't fit {width} bytes")
         self.end = array(self.code, [end_id]).tobytes()
+        self.most = memo
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes | None] = {}  # ids of pieces with the space before them, if they begin with no line feed; none for odd ones
         self.marks: dict[str, bytes] = {}
@@ -65,8 +66,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         memo = self.memo
-        if len(memo) > MEMO:
-            kept = self.again if len(self.again) < MEMO // 2 else set()
+        if len(memo) > self.most:
+            kept = self.again if len(self.again) < self.most // 2 else set()
             self.memo = memo = {w: b for w, b in memo.items() if w in kept}
             self.again = set()
         new = [w for w in pieces if w not in memo]
@@ -80,7 +81,7 @@ class Encoder:
         plain = [w for w in new if w not in parts]
         stems = {m[0].lower() if self.folds and m[0].isascii() else m[0] for m in parts.values()}
         self._encode_into(memo, [*plain, *stems.difference(memo, plain)])
-        if len(self.marks) > MEMO // 8:
+        if len(self.marks) > self.most // 8:
             self.marks = {}
         self._encode_into(self.marks, list({m[1] for m in parts.values()}.difference(self.marks)), "")
         for w, (stem, mark) in parts.items():
@@ -130,9 +131,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end_id: int, width: int = 4) -> Encoder:
+def encoder(path: str, end_id: int, width: int = 4, memo: int = MEMO) -> Encoder:
     """One encoder per Python worker; its memo lives on from task to task."""
-    return Encoder(path, end_id, width)
+    return Encoder(path, end_id, width, memo)
 
 
 def slices(batch: pa.RecordBatch, chars: int = 8 << 20):
