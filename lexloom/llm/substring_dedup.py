@@ -156,7 +156,7 @@ def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by the keys, the last varying fastest; where a new value of the first key begins)."""
     order = np.lexsort(keys[::-1])
     k = keys[0][order]
-    return order, np.r_[True, k[1:] != k[:-1]]
+    return order, np.r_[True, k[1:] != k[:-1]][: len(k)]
 
 
 def chunk_rows(ids: np.ndarray, texts: list[bytes], buckets: int, window: int = WINDOW):
