@@ -29,10 +29,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; workers that hold other stages' memory get a small memo."""
     import public_tokenizers
 
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, memo=150_000, part=3 << 20)
 
 
 STAGES = [("quality_rules", keep_good), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

@@ -21,19 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import read, release
-from lexloom.llm.tokens import encoder, slices
+from lexloom.llm.tokens import MEMO, PART, encoder, slices
 
 CAPACITY, GROUP = 1024, 131_072
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (32-bit little-endian) of every piece; only the first may be short."""
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, memo: int = MEMO, part: int = PART) -> DataFrame:
+    """doc_id, piece, start, length and ids (32-bit little-endian) of every piece; only the first may be short.
+
+    memo and part bound a worker's memory, not the result: pieces of text kept, and bytes of text encoded together.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, end_id, 4, 150_000)
+        encode = encoder(vocabulary, end_id, 4, memo)
         for batch in batches:
-            for some in slices(batch, 3 << 20):
+            for some in slices(batch, part):
                 ids, bounds = encode(some.column("text"))
                 n = np.diff(bounds)
                 pieces = -(-n // capacity)
@@ -136,8 +139,8 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, group: int = GROUP, memo: int = MEMO, part: int = PART) -> DataFrame:
     """Every piece of docs with its place and the crc32 of its ids."""
-    pieces = token_pieces(docs, vocabulary, end_id, capacity)
+    pieces = token_pieces(docs, vocabulary, end_id, capacity, memo, part)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digests, 1 + docs.count() // group, capacity)

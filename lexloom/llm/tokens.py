@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Pieces that the memo holds at most unless told otherwise; beyond, it forgets those that only one batch had.
 MEMO = 400_000
+#: Bytes of text that are encoded together.
+PART = 8 << 20
 
 
 #: Latin letters (but I with dot, whose lower case has a mark), then ASCII marks.
@@ -136,7 +138,7 @@ def encoder(path: str, end_id: int, width: int = 4, memo: int = MEMO) -> Encoder
     return Encoder(path, end_id, width, memo)
 
 
-def slices(batch: pa.RecordBatch, chars: int = 8 << 20):
+def slices(batch: pa.RecordBatch, chars: int = PART):
     """Parts of a batch of about so many bytes of text, at least a row each."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
     part = np.cumsum(sizes) // chars
