@@ -18,6 +18,9 @@ def lift(f: Callable, kind: str, *args: Column | str, **fixed) -> Column:
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y, **fixed) for x, y in zip(a, b)], dtype=object)
 
+    if kind.startswith("struct<"):  # a struct travels in an array of one, so that it may be null
+        boxed = lift(lambda *x, **k: [f(*x, **k)], f"array<{kind}>", *args, **fixed)
+        return F.get(boxed, F.lit(0))
     return F.pandas_udf(one if len(args) == 1 else two, kind)(*args)
 
 

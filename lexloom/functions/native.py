@@ -132,3 +132,36 @@ def uuid7_timestamp_ms(u: Column) -> Column:
 
 def uuid_version(u: Column) -> Column:
     return F.conv(F.substring(F.replace(u, F.lit("-"), F.lit("")), 13, 1), 16, 10).cast("int")
+
+
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def uuid_parse(value: Column) -> Column:
+    """The 16 bytes of a canonical lower-case UUID; null for anything else."""
+    return F.when(F.rlike(value, F.lit(UUID)), F.unhex(F.replace(value, F.lit("-"), F.lit(""))))
+
+
+def uuid_version(value: Column) -> Column:
+    return F.when(F.rlike(value, F.lit(UUID)), F.conv(F.substring(value, 15, 1), 16, 10).cast("int"))
+
+
+def uuid7_timestamp_ms(value: Column) -> Column:
+    """Milliseconds since the epoch of a UUID of version 7; null for anything else."""
+    return F.when(uuid_version(value) == 7, F.conv(F.substring(F.replace(value, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long"))
+
+
+def uuid4() -> Column:
+    return F.uuid()
+
+
+def uuid7() -> Column:
+    """The time in milliseconds, then random bits; rows of one query share the time."""
+    stamp = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0")
+    tail = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    return F.concat(F.substring(stamp, 1, 8), F.lit("-"), F.substring(stamp, 9, 4), F.lit("-7"), F.substring(tail, 1, 3), F.lit("-"), F.substring(tail, 17, 4), F.lit("-"), F.substring(tail, 21, 12))
+
+
+def minhash_jaccard(a: Column, b: Column) -> Column:
+    """Share of equal rows of two signatures."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)

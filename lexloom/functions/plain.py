@@ -366,6 +366,12 @@ def shingles(text: str, width: int = 3) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
+def exact_shingles(text: str, width: int = 3) -> set[tuple[str, ...]]:
+    """Shingles of full width only: none in a shorter text."""
+    w = fold(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
 def shingle_jaccard(a: str, b: str, width: int = 3) -> float:
     x, y = shingles(a, width), shingles(b, width)
     return len(x & y) / len(x | y) if x | y else 1.0

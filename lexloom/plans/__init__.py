@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import native as N
 from lexloom.functions import plain as P
+from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, randoms, scrub, sketches, stems
 from lexloom.functions.columns import lift, spans
-from lexloom.operators import integrity, retrieval
+from lexloom.operators import integrity, near_dup, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,3 +243,109 @@ SELECT list_id, round(coalesce(1.0 / min(rank) FILTER (WHERE rel), 0), 6) AS mrr
   round(count(*) FILTER (WHERE rel AND rank <= 50) / 50, 6) AS precision,
   round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel AND rank <= 50), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 51) t(i) WHERE i <= (SELECT count(*) FROM g)), 6) AS ndcg
 FROM h GROUP BY list_id"""
+for _name, _column in {"mrr": "mrr", "recall_at_k": "recall", "precision_at_k": "precision", "ndcg_at_k": "ndcg"}.items():
+    QUERIES[_name] = lambda spark, d, c=_column: _metrics(spark, d).select("list_id", F.col(c).alias("value"))
+    ORACLE[_name] = f"SELECT list_id, {_column} AS value FROM ({ORACLE['ranking_metrics']})"
+
+
+# --- one row for each span
+def each(name: str, value: Callable[[Column], Column], table: str = "documents", key: str = "doc_id") -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = read(spark, sf_dir, table).select(key, F.posexplode(value(F.col("text"))).alias("n", "_s"))
+        return found.select(key, "n", "_s.*")
+
+    QUERIES[name] = query
+
+
+each("word_bounds_iter", lambda t: spans(P.word_bounds, t))
+each("sentence_bounds_iter", lambda t: spans(P.sentence_bounds, t))
+for _f, _kw in (("chunk_by_words", {"n": 100, "overlap": 10}), ("chunk_by_sentences", {"n": 5}), ("chunk_by_lines", {"n": 3, "overlap": 1}), ("chunk_by_paragraphs", {"n": 2}), ("chunk_text", {"max_chars": 400})):
+    each(f"{_f}_iter", lambda t, f=_f, kw=_kw: spans(getattr(P, f), t, **kw))
+each("find_patterns_iter", lambda t: lift(lambda x: [{"start": a, "end": b, "pattern": i} for a, b, i in P.matcher(list(_PATTERNS))(x)], "array<struct<start:int,end:int,pattern:int>>", t))
+
+# --- more chunks
+scalar("chunk_hierarchical", lambda t: spans(chunks.chunk_hierarchical, t, max_chars=400))
+scalar("chunk_to_budget", lambda t: spans(lambda x: chunks.chunk_to_budget(x, lambda y: len(y.split()), 100, 10), t))
+scalar("chunk_to_offsets", lambda t: spans(lambda x: chunks.chunk_to_offsets(x, [(a, b) for a, b in P.word_bounds(x) if not x[a:b].isspace()], 120, 12), t))
+scalar("chunk_quality", lambda t: lift(lambda x: chunks.chunk_quality(P.chunk_by_sentences(x, 3), x), "struct<integrity:double,cohesion:double>", t))
+scalar("chunk_cdc", lambda t: spans(chunks.chunk_cdc, F.encode(t, "UTF-8"), min_size=256, avg_size=1024, max_size=8192))
+
+# --- redaction
+_REPORT = "struct<text:string,redacted:int,spans:array<struct<rule:string,start:int,end:int>>>"
+for _f in ("scrub_pii", "scrub_secrets", "scrub_log_text"):
+    scalar(_f, lambda t, f=_f: lift(getattr(scrub, f), "string", t))
+for _f in ("scrub_pii_report", "scrub_secrets_report"):
+    scalar(_f, lambda t, f=_f: lift(getattr(scrub, f), _REPORT, t))
+scalar("first_invalid_offender", lambda t: F.try_element_at(F.regexp_extract_all(t, F.lit("[^a-z0-9_]"), 0), F.lit(1)), column="event_type", table="events", key="event_id", sql="nullif(regexp_extract(event_type, '[^a-z0-9_]'), '')")
+
+# --- repair, markup, stems
+scalar("repair_json", lambda t: lift(json_repair.repair_json, "string", F.expr("substring(props, 1, length(props) - 1)")), table="events", key="event_id", column="props")
+scalar("repair_json_diagnostics", lambda t: lift(lambda x: [a["action"] for a in json_repair.repair_json_diagnostics(x)[1]], "array<string>", F.expr("substring(props, 1, length(props) - 1)")), table="events", key="event_id", column="props")
+scalar("repair_json_loads", lambda t: lift(lambda x: type(json_repair.repair_json_loads(x)).__name__, "string", t), table="events", key="event_id", column="props")
+scalar("to_markdown", lambda t: lift(markup.html_to_markdown, "string", t), table="pages", key="page_id", column="html")
+scalar("to_text", lambda t: lift(markup.html_to_text, "string", t), table="pages", key="page_id", column="html")
+scalar("sniff", lambda t: markup.sniff(F.encode(t, "UTF-8")), table="pages", key="page_id", column="html")
+scalar("apply_pipeline_stemmed", lambda t: lift(stems.apply_terms, "string", N.collapse_whitespace(N.strip_accents(F.lower(t))), stemmer="english"))
+
+# --- pairs
+_OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+_ops = lambda found: [dict(zip(("tag", "i1", "i2", "j1", "j2"), x)) for x in found]
+pair("diff_opcodes", lambda a, b: lift(lambda x, y: _ops(diffs.diff_opcodes(x, y)), _OPCODES, a, b))
+pair("diff_opcodes_lines", lambda a, b: lift(lambda x, y: _ops(diffs.diff_opcodes_lines(x, y)), _OPCODES, F.replace(a, F.lit("#"), F.lit("\n")), F.replace(b, F.lit("#"), F.lit("\n"))))
+pair("nysiis", lambda a, b: lift(names.nysiis, "string", a))
+pair("grounding_coverage", lambda a, b: lift(grounding.grounding_coverage, "double", a, b))
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+scalar("get_close_matches", lambda t: lift(P.get_close_matches, "array<string>", t, possibilities=_SEGMENTS, cutoff=0.3), table="customer", key="c_custkey", column="c_mktsegment")
+
+# --- grounding: what users said in what was answered
+_SNIPPETS = "struct<snippets:array<struct<text:string,start:int,end:int,score:double>>,score:double>"
+_SENTENCES = "struct<sentences:array<struct<text:string,start:int,end:int,score:double>>,score:double>"
+scalar("highlight", lambda t: lift(lambda x: grounding.highlight("licensed under the license", x), _SNIPPETS, t))
+scalar("ground_sentences", lambda t: lift(lambda x: grounding.ground_sentences(x, "licensed under the license"), _SENTENCES, t))
+
+
+def _grounding_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn against the turn before it."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    verdict = lift(lambda x, y: {k: float(v) for k, v in grounding.grounding_report(x, [y])["aggregate"].items()}, "struct<grounded_ratio:double,mean_score:double,best_score:double,coverage:double>", "text", "source")
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", verdict.alias("value"))
+
+
+QUERIES["grounding_report"] = _grounding_report
+
+# --- sketches
+scalar("minhash_signature", lambda t: lift(lambda x: sketches.signed(sketches.minhash_signature(x)), "array<long>", t))
+scalar("weighted_minhash_signature", lambda t: lift(lambda x: [{"hash": h - (1 << 64) if h >> 63 else h, "level": k} for h, k in sketches.weighted_minhash_signature(x, 16)], "array<struct<hash:long,level:long>>", t))
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), lift(lambda x: sketches.signed(sketches.minhash_signature(x)), "array<long>", text).alias("sig"))
+
+
+def _jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against the next one."""
+    a = near_dup.written(_signatures(spark, d), "signatures")
+    b = a.select((F.col("id") - 1).alias("id"), F.col("sig").alias("_b"))
+    return a.join(b, "id").select("id", N.minhash_jaccard(F.col("sig"), F.col("_b")).alias("value"))
+
+
+QUERIES["minhash_jaccard"] = _jaccard
+QUERIES["lsh_candidates"] = lambda spark, d: near_dup.lsh_candidates(near_dup.written(_signatures(spark, d), "signatures"), 16, 8)
+for _m in ("simhash", "shingle", "minhash"):
+    QUERIES[f"dedup_near_dup_{_m}"] = lambda spark, d, m=_m: near_dup.dedup_near_dup(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 0.9, m)
+
+# --- tokens and UUIDs
+for _f in ("random_hex", "random_b62", "random_b64url"):
+    scalar(_f, lambda t, f=_f: lift(lambda x: getattr(randoms, f)(22, seed=x), "string", t), table="events", key="event_id", column="event_id")
+scalar("random_string", lambda t: lift(lambda x: randoms.random_string(12, "abcdef", seed=x), "string", t), table="events", key="event_id", column="event_id")
+scalar("uuid4", lambda t: N.uuid_version(N.uuid4()), "4::INTEGER", table="events", key="event_id", column="event_id")
+scalar("uuid4_bytes", lambda t: F.octet_length(N.uuid_parse(N.uuid4())), "16::INTEGER", table="events", key="event_id", column="event_id")
+scalar("uuid7", lambda t: N.uuid_version(N.uuid7()), "7::INTEGER", table="events", key="event_id", column="event_id")
+scalar("uuid7_bytes", lambda t: F.octet_length(N.uuid_parse(N.uuid7())), "16::INTEGER", table="events", key="event_id", column="event_id")
+_MD5_PARTS = ", ".join(f"substr(md5(props), {a}, {n})" if n else f"'{a}'" for a, n in ((1, 8), ("-", 0), (9, 4), ("-7", 0), (14, 3), ("-8", 0), (18, 3), ("-", 0), (21, 12)))
+_U7 = f"concat({_MD5_PARTS})"
+scalar("uuid_version", lambda t: N.uuid_version(F.expr(_U7)), "7::INTEGER", "events", "event_id", "props")
+scalar("uuid_parse", lambda t: F.lower(F.hex(N.uuid_parse(F.expr(_U7)))), f"replace({_U7}, '-', '')", "events", "event_id", "props")
+scalar("uuid7_timestamp_ms", lambda t: N.uuid7_timestamp_ms(F.expr(_U7)), "('0x' || substr(md5(props), 1, 12))::BIGINT", "events", "event_id", "props")
