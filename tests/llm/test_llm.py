@@ -181,6 +181,78 @@ def test_quality(docs, empty):
     assert (p > 0).all() and all(p[g >> 6 == c].sum() <= 1 + 1e-9 for c in np.unique(g >> 6))
 
 
+def _plain_kneser_ney(texts):
+    """Mean negative log probability by word under a modified Kneser-Ney bigram model of these texts, from dictionaries."""
+    from collections import Counter
+
+    split = [WORD.findall(t or "") for t in texts]
+    n = Counter(b for w in split for b in zip(["", *w], w))
+    context, kinds, before = Counter(), {}, Counter()
+    for (v, w), k in n.items():
+        context[v] += k
+        before[w] += 1
+        kinds.setdefault(v, Counter())[min(k, 3)] += 1
+
+    def cuts(counts):
+        c = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
+        if not all(c[:3]):
+            return [0, 0.5, 0.5, 0.5]
+        y = c[0] / (c[0] + 2 * c[1])
+        return [0, *(min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    d2, d1, total = cuts(n.values()), cuts(before.values()), len(n)
+    rest = sum(d1[min(k, 3)] for k in before.values()) / max(total, 1)
+    low = {w: (k - d1[min(k, 3)]) / total + rest / len(before) for w, k in before.items()}
+    p = {(v, w): (k - d2[min(k, 3)]) / context[v] + sum(d2[j] * c for j, c in kinds[v].items()) / context[v] * low[w] for (v, w), k in n.items()}
+    return [-sum(np.log(p[b]) for b in zip(["", *w], w)) / len(w) if w else None for w in split]
+
+
+def test_quality_model_is_plain_kneser_ney(spark, docs):
+    data = [r for r in docs.select("doc_id", "lang", "text").collect()]
+    want = []
+    for lang in (None, "en"):
+        some = [r for r in data if r.lang == lang]
+        want += [(r.doc_id, lang, x) for r, x in zip(some, _plain_kneser_ney([r.text for r in some]))]
+    order = lambda rows: sorted(rows, key=lambda r: (repr(r[:2]), r[2] is not None, r[2] or 0))
+    for slice_chars in (500, 1 << 20):
+        got = [(r.doc_id, r.lang, r.log_perplexity) for r in quality.scores(docs.select("doc_id", "lang", "text"), slice_chars).collect()]
+        assert len(got) == len(want)
+        for a, b in zip(order(got), order(want)):
+            assert a[:2] == b[:2] and (a[2] is b[2] is None or abs(a[2] - b[2]) < 1e-4)
+
+
+def test_quality_model_grows_and_folds_nothing(spark):
+    # digits, letter case and code points that classes would fold are words of their own
+    texts = ["a1 b", "a2 b", "A1 b", "\U0001F600 b", "\U0001F601 b"]
+    frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.log_perplexity for r in quality.scores(frame).collect()}
+    assert all(abs(got[i] - x) < 1e-4 for i, x in enumerate(_plain_kneser_ney(texts)))
+    names, bounds = quality.word_names([t.encode() for t in texts])
+    assert len(set(names.tolist())) == 6
+
+
+def test_quality_band_fits_labels(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    clean = [" ".join(rng.choice(words) for _ in range(250)) for _ in range(400)]
+    junk = [" ".join(rng.choice(words) + (rng.choice("#%&") if rng.random() < 0.2 else "") for _ in range(250)) for _ in range(60)]
+    frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(clean + junk)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(460)], "doc_id long, quality int")
+    got = quality.judged(frame, labels).collect()
+    assert not any(r.base_failed for r in got)
+    scores = np.array([r.log_perplexity for r in sorted(got, key=lambda r: r.doc_id)])
+    middle, low, high = quality.fit(scores, np.array([len(t) for t in clean + junk]), np.arange(460) < 400)
+    width = [max(1.0, 1000 / len(t)) ** 0.5 for t in clean + junk]
+    for r in got:
+        assert r.kept == (middle + low * width[r.doc_id] <= r.log_perplexity <= middle + high * width[r.doc_id])
+    assert sum(not r.kept for r in got if r.doc_id < 400) <= 4  # CLEAN_LOSS
+    assert sum(not r.kept for r in got if r.doc_id >= 400) >= 55
+    assert quality.keep_good(frame, labels).count() == sum(r.kept for r in got)
+    # too few labels: the fence
+    few = quality.judged(frame, labels.limit(20)).collect()
+    assert {(r.doc_id, r.kept) for r in few} == {(r.doc_id, r.kept) for r in quality.judged(frame).collect()}
+
+
 def test_substrings(docs, empty):
     data = [(r.doc_id, r.text or "") for r in docs.collect()]
     first = {}
