@@ -78,18 +78,18 @@ def _compress(name, start, end, lo, hi, doc, seed):
     """One round: runs, then pairs. Returns the new sequence and which of its symbols are new."""
     # runs
     same = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
-    new = np.zeros(len(name), bool)
-    if same.any():
-        first = np.flatnonzero(np.r_[True, ~same])
-        last = np.r_[first[1:], len(name)] - 1
-        k = last - first + 1
-        # a run depends on the symbols at both sides; one at a text's edge depends on what isn't there
-        left, right = np.maximum(first - 1, 0), np.minimum(last + 1, len(name) - 1)
-        lone = (doc[left] != doc[first]) | (first == 0) | (doc[right] != doc[first]) | (last == len(name) - 1)
-        run = k > 1
-        name = np.where(run, mixed(name[first] + U(0x9E3779B97F4A7C15) * k.astype(U)), name[first])
-        lo, hi = np.where(run, np.where(lone, -1, lo[left]), lo[first]), np.where(run, np.where(lone, 1 << 62, hi[right]), hi[last])
-        start, end, doc, new = start[first], end[last], doc[first], run
+    first = np.flatnonzero(np.r_[True, ~same])
+    last = np.r_[first[1:], len(name)] - 1
+    k = last - first + 1
+    # a run, or being in none, depends on the symbols at both sides; one at a text's edge depends on what isn't there
+    left, right = np.maximum(first - 1, 0), np.minimum(last + 1, len(name) - 1)
+    lone = (doc[left] != doc[first]) | (first == 0) | (doc[right] != doc[first]) | (last == len(name) - 1)
+    run = k > 1
+    name = np.where(run, mixed(name[first] + U(0x9E3779B97F4A7C15) * k.astype(U)), name[first])
+    low, high = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+    low, high = np.minimum(low, np.minimum(lo[left], lo[right])), np.maximum(high, np.maximum(hi[left], hi[right]))
+    lo, hi = np.where(lone, -1, low), np.where(lone, 1 << 62, high)
+    start, end, doc, new = start[first], end[last], doc[first], run
     # pairs
     right_class = (mixed(name ^ U(seed)) >> U(40)) & U(1) == 1
     next_same = doc[1:] == doc[:-1]

@@ -272,6 +272,25 @@ def test_substrings(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_equal_windows_have_equal_anchors():
+    # each document is a chunk of its own; outer neighbours equal a passage's edge words in some
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        passage = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        seen = {}
+        for edges in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            before, after = rng.integers(0, 1 << 63, (2, 30)).astype(np.uint64)
+            if edges[0]:
+                before[-1] = passage[0]
+            if edges[1]:
+                after[0] = passage[-1]
+            names = np.concatenate([before, passage, after])
+            _, found = substring_dedup.anchors(names, np.array([0, len(names)]))
+            for k in range(21):
+                seen.setdefault(k, set()).add(int(found[30 + k]))
+        assert all(len(x) == 1 for x in seen.values()), trial
+
+
 def test_secrets(docs, empty):
     for r in secrets.scan(docs).collect():
         assert all(s.end > s.start for s in r.spans)
