@@ -7,6 +7,8 @@ from lexloom.functions.plain import fold, sentence_bounds, similarity_ratio, wor
 POWER = 1.2
 #: Words scanned of a text, terms of a query.
 MAX_WORDS, MAX_TERMS = 16_384, 128
+#: Windows looked at again by is_grounded, and the similarity that they need.
+CANDIDATES, LEAST_SCORE = 64, 0.5
 
 
 def terms(text: str) -> list[str]:
@@ -76,13 +78,36 @@ def highlight(query: str, text: str, max_snippets: int = 3, max_chars: int = 400
 
 
 def is_grounded(claim: str, source: str, fuzzy: bool = False, threshold: float = 0.85) -> bool:
-    """claim occurs in source; fuzzy: or some window of its length, half a length apart, is as similar."""
-    if claim in source:
+    """claim occurs in source; fuzzy: or some window of its length is as similar.
+
+    Windows stand half a length apart; around the CANDIDATES best of at least LEAST_SCORE they stand a sixteenth apart."""
+    if not claim or claim in source:
         return True
-    if not fuzzy or not claim:
+    if not fuzzy:
         return False
-    n = len(claim)
-    return any(similarity_ratio(claim, source[i : i + n]) >= threshold for i in range(0, max(1, len(source) - n + 1), max(1, n // 2)))
+    n, size = len(claim), len(source)
+    if size <= n:
+        return similarity_ratio(claim, source) >= threshold if source else threshold <= 0
+
+    def score(i: int) -> float:  # what a window at the end lacks counts as different
+        window = source[i : i + n]
+        return similarity_ratio(claim, window) * (n + len(window)) / (2 * n)
+
+    found, seen = [], set()
+    for i in range(0, size, max(1, n // 2)):
+        s = score(i)
+        if s >= threshold:
+            return True
+        if s >= LEAST_SCORE and source[i : i + n] not in seen:  # equal windows take one seat
+            seen.add(source[i : i + n])
+            found.append((s, i))
+        if i + n >= size:
+            break
+    for _, i in sorted(found, key=lambda x: (-x[0], x[1]))[:CANDIDATES]:
+        low, high = max(0, i - n // 2), min(i + n // 2, size - n)
+        if any(score(k) >= threshold for k in (*range(low, high, max(1, n // 16)), high)):
+            return True
+    return False
 
 
 def grounding_report(text: str, sources: list[str], query: str | None = None, threshold: float = 0.85) -> dict:

@@ -145,6 +145,17 @@ pair("similarity_ratio", lambda a, b: lift(P.similarity_ratio, "double", a, b))
 pair("shingle_jaccard", lambda a, b: lift(P.shingle_jaccard, "double", a, b, width=1))
 pair("shingle_dice", lambda a, b: lift(P.shingle_dice, "double", a, b, width=1))
 pair("is_grounded", lambda a, b: F.contains(b, a), "contains(b, a)")
+
+
+def _grounded_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Whether 60 characters of a document, the 31st of them changed, are grounded in its whole text."""
+    t = F.col("text")
+    claim = F.concat(F.substring(t, 15, 30), F.lit("\u00a4"), F.substring(t, 46, 29))
+    docs = read(spark, d, "documents").where(F.length("text") >= 75)
+    return docs.select("doc_id", lift(grounding.is_grounded, "boolean", claim, t, fuzzy=True).alias("value"))
+
+
+QUERIES["is_grounded_fuzzy"] = _grounded_fuzzy
 pair("soundex", lambda a, b: F.soundex(F.regexp_replace(a, "[^A-Za-z]", "")))
 pair("refined_soundex", lambda a, b: lift(P.refined_soundex, "string", a))
 
