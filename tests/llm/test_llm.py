@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import exact_dedup, html_extract, mixing, packing, quality, registry, secrets, sharding, simhash, substring_dedup, token_output
 from lexloom.llm.common import new_path
 from lexloom.llm.regex_trigrams import trigram_query
+from lexloom.llm.substring_dedup import mixed
 from oracle import expected, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,29 +170,34 @@ def test_quality(docs, empty):
         w = WORD.findall(r.text or "")
         tri = list(zip(w, w[1:], w[2:]))
         covered = {j for i, t in enumerate(tri) if tri.count(t) > 1 for j in (i, i + 1, i + 2)} if len(w) < 700 else None
-        n, chars, signs, _, repeat = quality.base_counts(r.text or "")
+        n, chars, signs, lines, repeat = quality.base_counts(r.text or "")
         assert (n, chars, signs) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r.text or "")))
+        full = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        assert lines == sum(x in full[:i] for i, x in enumerate(full))
         assert covered is None or repeat == len(covered)
     got = quality.judged(docs).collect()
     assert len(got) == docs.count() and not any(r.kept for r in got if r.base_failed)
     assert quality.keep_good(docs).count() == sum(r.kept for r in got)
     assert quality.keep_good(empty).count() == 0
-    g = np.unique(np.random.default_rng(0).integers(0, 1 << 24, 5000))
-    p = quality.kneser_ney(g, np.random.default_rng(1).integers(1, 6, len(g)))
-    assert (p > 0).all() and all(p[g >> 6 == c].sum() <= 1 + 1e-9 for c in np.unique(g >> 6))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
 
 
 def _plain_kneser_ney(texts):
-    """Mean negative log probability by word under a modified Kneser-Ney bigram model of these texts, from dictionaries."""
+    """Mean negative log probabilities by word of each text under a modified Kneser-Ney bigram model of the others, whole and
+    of the lowest order alone, from dictionaries; discounts and the mass of unseen words are those of all texts."""
     from collections import Counter
 
     split = [WORD.findall(t or "") for t in texts]
-    n = Counter(b for w in split for b in zip(["", *w], w))
-    context, kinds, before = Counter(), {}, Counter()
-    for (v, w), k in n.items():
-        context[v] += k
-        before[w] += 1
-        kinds.setdefault(v, Counter())[min(k, 3)] += 1
+    grams = [Counter(zip(["", *w], w)) for w in split]
+
+    def model(n):
+        context, kinds, before = Counter(), {}, Counter()
+        for (v, w), k in n.items():
+            context[v] += k
+            before[w] += 1
+            kinds.setdefault(v, Counter())[min(k, 3)] += 1
+        return context, kinds, before
 
     def cuts(counts):
         c = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
@@ -200,11 +206,22 @@ def _plain_kneser_ney(texts):
         y = c[0] / (c[0] + 2 * c[1])
         return [0, *(min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
 
-    d2, d1, total = cuts(n.values()), cuts(before.values()), len(n)
-    rest = sum(d1[min(k, 3)] for k in before.values()) / max(total, 1)
-    low = {w: (k - d1[min(k, 3)]) / total + rest / len(before) for w, k in before.items()}
-    p = {(v, w): (k - d2[min(k, 3)]) / context[v] + sum(d2[j] * c for j, c in kinds[v].items()) / context[v] * low[w] for (v, w), k in n.items()}
-    return [-sum(np.log(p[b]) for b in zip(["", *w], w)) / len(w) if w else None for w in split]
+    n = sum(grams, Counter())
+    before = model(n)[2]
+    d2, d1 = cuts(n.values()), cuts(before.values())
+    rest = sum(d1[min(k, 3)] for k in before.values()) / max(len(n), 1)
+    out = []
+    for own in grams:
+        left = n - own
+        context, kinds, ahead = model(left)
+        low, p = {}, {}
+        for v, w in own:
+            low[v, w] = max(ahead[w] - d1[min(ahead[w], 3)], 0) / max(len(left), 1) + rest / len(before)
+            k = left[v, w]
+            p[v, w] = (k - d2[min(k, 3)]) / context[v] + sum(d2[j] * c for j, c in kinds[v].items()) / context[v] * low[v, w] if context[v] else low[v, w]
+        size = sum(own.values())
+        out.append(tuple(-sum(k * np.log(x[b]) for b, k in own.items()) / size if size else None for x in (p, low)))
+    return out
 
 
 def test_quality_model_is_plain_kneser_ney(spark, docs):
@@ -212,13 +229,29 @@ def test_quality_model_is_plain_kneser_ney(spark, docs):
     want = []
     for lang in (None, "en"):
         some = [r for r in data if r.lang == lang]
-        want += [(r.doc_id, lang, x) for r, x in zip(some, _plain_kneser_ney([r.text for r in some]))]
+        want += [(r.doc_id, lang, *x) for r, x in zip(some, _plain_kneser_ney([r.text for r in some]))]
     order = lambda rows: sorted(rows, key=lambda r: (repr(r[:2]), r[2] is not None, r[2] or 0))
     for slice_chars in (500, 1 << 20):
-        got = [(r.doc_id, r.lang, r.log_perplexity) for r in quality.scores(docs.select("doc_id", "lang", "text"), slice_chars).collect()]
+        got = [(r.doc_id, r.lang, r.log_perplexity, r.log_continuation) for r in quality.scores(docs.select("doc_id", "lang", "text"), slice_chars).collect()]
         assert len(got) == len(want)
         for a, b in zip(order(got), order(want)):
-            assert a[:2] == b[:2] and (a[2] is b[2] is None or abs(a[2] - b[2]) < 1e-4)
+            assert a[:2] == b[:2]
+            assert all((x is y is None) or abs(x - y) < 1e-4 for x, y in zip(a[2:], b[2:])), (a, b)
+
+
+def test_quality_scores_in_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    names = mixed(rng.integers(0, 300, 5_000).astype(np.uint64))
+    lengths = np.array([0, 1, 40, 0, 1_500, 3_000, 459, 0], np.int64)
+    s = quality.Slice.of("en", names, lengths, np.zeros((8, 8), np.int64))
+    s.count(3)
+    n = s.n + 1
+    stats = np.stack([np.bincount(s.before, n, len(s.words)), *(np.bincount(s.before[np.minimum(n, 3) == k], minlength=len(s.words)) for k in (1, 2, 3)), np.bincount(s.after, minlength=len(s.words))], 1).astype(np.int64)
+    args = (n, stats, np.array([0, 0.5, 0.7, 0.9]), np.array([0, 0.5, 0.7, 0.9]), 3, 2, 1, 1, 300, len(n))
+    whole = s.log_probabilities(*args)
+    for tokens in (1, 100, 2_000):
+        monkeypatch.setattr(quality, "TOKENS", tokens)
+        assert np.allclose(s.log_probabilities(*args), whole)
 
 
 def test_quality_model_grows_and_folds_nothing(spark):
@@ -226,7 +259,7 @@ def test_quality_model_grows_and_folds_nothing(spark):
     texts = ["a1 b", "a2 b", "A1 b", "\U0001F600 b", "\U0001F601 b"]
     frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     got = {r.doc_id: r.log_perplexity for r in quality.scores(frame).collect()}
-    assert all(abs(got[i] - x) < 1e-4 for i, x in enumerate(_plain_kneser_ney(texts)))
+    assert all(abs(got[i] - x) < 1e-4 for i, (x, _) in enumerate(_plain_kneser_ney(texts)))
     names, bounds = quality.word_names([t.encode() for t in texts])
     assert len(set(names.tolist())) == 6
 
@@ -240,12 +273,14 @@ def test_quality_band_fits_labels(spark):
     labels = spark.createDataFrame([(i, int(i < 400)) for i in range(460)], "doc_id long, quality int")
     got = quality.judged(frame, labels).collect()
     assert not any(r.base_failed for r in got)
-    scores = np.array([r.log_perplexity for r in sorted(got, key=lambda r: r.doc_id)])
-    middle, low, high = quality.fit(scores, np.array([len(t) for t in clean + junk]), np.arange(460) < 400)
-    width = [max(1.0, 1000 / len(t)) ** 0.5 for t in clean + junk]
-    for r in got:
-        assert r.kept == (middle + low * width[r.doc_id] <= r.log_perplexity <= middle + high * width[r.doc_id])
-    assert sum(not r.kept for r in got if r.doc_id < 400) <= 4  # CLEAN_LOSS
+    by = sorted(got, key=lambda r: r.doc_id)
+    words = np.array([r.n_words for r in by])
+    x, y = (np.array([r[c] for r in by]) for c in ("log_continuation", "log_perplexity"))
+    middle, low, high, whole, top = quality.fit(x, y, words, np.arange(460) < 400)
+    for r in by:
+        width = max(1.0, 200 / r.n_words) ** 0.5
+        assert r.kept == (middle + low * width <= r.log_continuation <= middle + high * width and r.log_perplexity <= whole + top * width)
+    assert sum(not r.kept for r in got if r.doc_id < 400) <= 6  # CLEAN_LOSS, of each end rounded up
     assert sum(not r.kept for r in got if r.doc_id >= 400) >= 55
     assert quality.keep_good(frame, labels).count() == sum(r.kept for r in got)
     # too few labels: the fence
