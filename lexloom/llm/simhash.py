@@ -1,13 +1,14 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints: bit i is set if more than half of a text's 3-word shingle hashes (XXH64, seed 42) have it. Copies of a
-fingerprint are folded first. Two fingerprints at BITS = 2 or fewer differing bits agree on two of four 16-bit blocks,
-so each goes to six groups, one per pair of blocks, keyed by the 32 bits there. Within a group a static index finds the
-links: fingerprints sorted by Gray rank, every 16 neighbours under a node that holds the bits on which all agree (mask
-and pattern), nodes under upper nodes that take over the bits their children share. A search adds up a query's
-differences node by node and drops whole subtrees beyond BITS, and subtrees whose members it's already connected to, so
-that a dense group costs no square. A group emits a star per connected part, not its pairs. A group above LARGE is split
-again, exactly: of three parts of the other 32 bits, one must agree. Components of all stars give the classes.
+fingerprint are folded first. Two fingerprints at BITS = 2 or fewer differing bits agree on one of three disjoint blocks,
+so each goes to three groups, one per block, keyed by as many low bits of the block as leave about GROUP fingerprints to
+a group (MOST bits at most). Within a group the index does the search: fingerprints sorted by Gray rank, every FAN
+neighbours under a node that holds the bits on which all agree (mask and pattern), nodes under upper nodes that take
+over the bits their children share. A search adds up a query's differences node by node, from the top, and drops whole
+subtrees beyond BITS, and subtrees whose members it's already connected to, so that a dense group costs no square. A
+group emits a star per connected part, not its pairs. A group above LARGE is split again, exactly: of three disjoint
+parts of the other blocks, one must agree. Components of all stars give the classes.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other; a null
 doc_id is never the smallest unless it's alone; repeated rows link to one another; empty tables give no rows.
@@ -24,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, read, release, small_enough
+from lexloom.llm.common import materialize, read, release
 from lexloom.llm.components import components
 
-BITS, SHINGLE, SEED, FAN, LARGE = 2, 3, 42, 16, 100_000
+BITS, SHINGLE, SEED, FAN = 2, 3, 42, 16
+#: Fingerprints to a group, roughly; bits of a group's key at most; fingerprints beyond which a group is split.
+GROUP, MOST, LARGE = 2_048, 21, 32_768
+#: Groups to a task, and tasks at most.
+TASK_GROUPS, TASKS = 16, 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -85,6 +90,7 @@ class GrayIndex:
     def __init__(self, codes: np.ndarray, fan: int = FAN):
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes, self.fan = codes[self.order], fan
+        self.visited = self.pruned = self.compared = 0  # nodes seen, nodes dropped by differences, codes compared
         low, high = self.codes, self.codes  # AND and OR of the members
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (mask of shared bits, pattern), leaves' nodes first
         while len(low) > 1:
@@ -123,7 +129,10 @@ class GrayIndex:
             mask, pattern = self.levels[k]
             acc = acc + np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node])
             size = self.fan ** (k + 1)
-            keep = (acc <= bits) & ((node + 1) * size > q + 1) & (uniform[k][node] != label[q])
+            wanted = ((node + 1) * size > q + 1) & (uniform[k][node] != label[q])
+            keep = (acc <= bits) & wanted
+            self.visited += int(wanted.sum())
+            self.pruned += int(wanted.sum() - keep.sum())
             q, node, acc = q[keep], node[keep], acc[keep]
             below = n if k == 0 else len(self.levels[k - 1][0])
             child = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
@@ -132,6 +141,7 @@ class GrayIndex:
             q, node, acc = q[real], child[real], acc[real]
         later = node > q
         q, node = q[later], node[later]
+        self.compared += len(q)
         near = np.bitwise_count(self.codes[q] ^ self.codes[node]) <= bits
         return connect(label, q[near], node[near])
 
@@ -166,50 +176,57 @@ def group_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(*held[0])
 
 
-def links(codes: DataFrame, large: int = LARGE) -> DataFrame:
-    """Distinct codes (_f) -> stars (a, b) of longs that connect all at BITS or fewer differences."""
-    block = [F.shiftrightunsigned("_f", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    pairs = list(combinations(range(4), 2))
-    rest = [[z for z in range(4) if z not in p] for p in pairs]
-    keys = [
-        F.struct(F.lit(i).cast("long").alias("_g"), (block[x] * 65536 + block[y]).alias("_k"), (block[rest[i][0]] * 65536 + block[rest[i][1]]).alias("_x"))
-        for i, (x, y) in enumerate(pairs)
-    ]
+def key_bits(n: int, group: int = GROUP) -> int:
+    """Bits of a group's key for n fingerprints."""
+    return min(MOST, max(0, (n - 1) // group).bit_length())
+
+
+def links(codes: DataFrame, group: int = GROUP, large: int = LARGE) -> DataFrame:
+    """Distinct codes (_f, a written table) -> stars (a, b) of longs that connect all at BITS or fewer differences."""
+    n = codes.count()
+    width = key_bits(n, group)
+    block = [F.shiftrightunsigned("_f", MOST * i).bitwiseAND((1 << MOST) - 1) for i in range(3)]
+    others = [block[(i + 1) % 3] + F.shiftleft(block[(i + 2) % 3], MOST) for i in range(3)]
+    keys = [F.struct(F.lit(i).cast("long").alias("_g"), block[i].bitwiseAND((1 << width) - 1).alias("_k"), others[i].alias("_x")) for i in range(3)]
     keyed = codes.select("_f", F.inline(F.array(*keys)))
     sizes = materialize(keyed.groupBy("_g", "_k").agg(F.count("*").alias("_n")).where(F.col("_n") > large), "large-groups")
-    if not sizes.isEmpty():
-        # 32 more bits in parts of 11, 11 and 10: with two differences, one part agrees
-        part = [(F.shiftright("_x", s).bitwiseAND((1 << w) - 1) + (j << 32)) for j, (s, w) in enumerate(((0, 11), (11, 11), (22, 10)))]
-        hot = keyed.join(small_enough(sizes), ["_g", "_k"])
-        again = hot.select("_g", "_k", "_f", F.explode(F.array(*part)).alias("_p"))
-        again = again.select(F.xxhash64("_g", "_p").alias("_g"), "_k", "_f")
-        keyed = keyed.join(small_enough(sizes), ["_g", "_k"], "left_anti").select("_g", "_k", "_f").unionByName(again)
-    grouped = keyed.select("_g", "_k", "_f").repartition("_g", "_k").sortWithinPartitions("_g", "_k")
-    return grouped.mapInArrow(group_stars, "a long, b long")
+    if sizes.isEmpty():
+        keyed = keyed.select("_g", "_k", "_f")
+    else:
+        part = 2 * MOST // 3
+        again = F.array(*(F.shiftright("_x", part * j).bitwiseAND((1 << part) - 1) + (j << part) + 1 for j in range(3)))
+        parts = F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(again)
+        keyed = keyed.hint("merge").join(sizes, ["_g", "_k"], "left").select("_g", "_k", "_f", F.explode(parts).alias("_p"))
+        keyed = keyed.select((F.col("_g") + F.col("_p") * 4).alias("_g"), "_k", "_f")
+    # a group's work is more than its bytes tell: the number of tasks goes by groups
+    tasks = min(TASKS, max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * n // (TASK_GROUPS * group)))
+    return keyed.repartition(tasks, "_g", "_k").sortWithinPartitions("_g", "_k").mapInArrow(group_stars, "a long, b long")
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """Fingerprints (doc_id, _f) -> (_f, _root, component_id) for each distinct fingerprint."""
     codes = materialize(prints.groupBy("_f").agg(F.min("doc_id").alias("_least")), "codes")
     roots = components(links(codes.select("_f"))).select(F.col("a").alias("_f"), F.col("b").alias("_root"))
-    rooted = codes.join(roots, "_f", "left").select("_f", "_least", F.coalesce("_root", "_f").alias("_root"))
+    rooted = codes.hint("merge").join(roots, "_f", "left").select("_f", "_least", F.coalesce("_root", "_f").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return materialize(rooted.select("_f", "_root").join(least, "_root"), "classes")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints(read(spark, sf_dir, "documents"))
-    found = classes(prints)
-    joined = prints.join(small_enough(found), "_f")
+    # here and below, hints keep one plan at every size
+    joined = prints.hint("merge").join(classes(prints), "_f")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("_f")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id (of rows that tie in it, one)."""
+    """docs with one document of each class: that of the smallest doc_id (of rows that tie in it, one).
+
+    Whole rows meet the dropped ones by shuffle, on doc_id and the text's hash."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
     ids = packed.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), F.xxhash64("_doc.text").alias("_t"))
     prints = fingerprints(ids, ("_t",))
-    found = prints.join(small_enough(classes(prints)), "_f")
+    found = prints.hint("merge").join(classes(prints), "_f")
     # rows are known by doc_id and text; of each class one such pair stays
     best = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_t")).alias("_b"), F.count("*").alias("_n"))
     many = best.where("_n > 1").select("_root", F.col("_b.doc_id").alias("_id"), F.col("_b._t").alias("_bt"))
@@ -217,9 +234,9 @@ def near_deduplicate(docs: DataFrame) -> DataFrame:
     odd = tied.select("doc_id", "_t", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_bt"))).alias("_best"), "_copies")
     odd = materialize(odd.where("not _best or _copies > 1"), "dropped")
     match = F.col("_doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("_doc.text") == F.col("_t"))
-    kept = packed.join(small_enough(odd), match, "left_anti").select("_doc.*")
+    kept = packed.hint("merge").join(odd, match, "left_anti").select("_doc.*")
     again = odd.where("_best")
     if again.isEmpty():
         return kept
-    one = packed.join(small_enough(again), match).groupBy("doc_id", "_t").agg(F.first("_doc").alias("_doc"))
+    one = packed.hint("merge").join(again, match).groupBy("doc_id", "_t").agg(F.first("_doc").alias("_doc"))
     return kept.unionByName(one.select("_doc.*"))

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexloom.llm import exact_dedup, html_extract, mixing, packing, quality, registry, secrets, sharding, simhash, substring_dedup, token_output
-from lexloom.llm.common import new_path
+from lexloom.llm.common import materialize, new_path
+from lexloom.llm.components import components
 from lexloom.llm.regex_trigrams import trigram_query
 from lexloom.llm.substring_dedup import mixed
 from oracle import expected, rows
@@ -101,7 +102,8 @@ def test_simhash(docs, empty):
             least[label[f]] = min(i, least.get(label[f], i))
     got = {r._f & (1 << 64) - 1: r.component_id for r in simhash.classes(prints).collect()}
     assert got == {c: least.get(label[c]) for c in codes}
-    assert simhash.near_deduplicate(docs).count() == len(set(label.values()))
+    left = simhash.near_deduplicate(docs)
+    assert left.columns == docs.columns and left.count() == len(set(label.values()))
     assert simhash.near_deduplicate(empty).count() == 0
 
 
@@ -109,12 +111,34 @@ def test_large_groups_split_exactly(spark):
     rng = np.random.default_rng(3)
     codes = np.unique((rng.integers(0, 1 << 14, 400) << 5).astype(np.int64))
     frame = spark.createDataFrame([(int(c),) for c in codes], "_f long")
-    from lexloom.llm.components import components
-
-    part = lambda large: {(r.a, r.b) for r in components(simhash.links(frame, large)).collect()}
-    assert part(100_000) == part(50)
+    frame = materialize(frame, "codes")
+    part = lambda group, large: {(r.a, r.b) for r in components(simhash.links(frame, group, large)).collect()}
+    assert part(2_048, 100_000) == part(16, 100_000) == part(2_048, 50) == part(64, 8)
     root = simhash.GrayIndex(codes.view(np.uint64)).connected(2)
-    assert len(set(root.tolist())) == len(codes) - len(part(50))
+    assert len(set(root.tolist())) == len(codes) - len(part(2_048, 100_000))
+
+
+def test_gray_index_searches_by_upper_nodes(spark):
+    """5,000 random codes with near copies: the index's parts are those of all pairs, and most of the tree is never seen."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 64, 4_000, dtype=np.uint64)
+    near = codes[:1_000] ^ (np.uint64(1) << rng.integers(0, 64, 1_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1_000).astype(np.uint64))
+    codes = np.unique(np.r_[codes, near])
+    label = np.arange(len(codes))
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 2):
+            a, b = label[i], label[j]
+            label[label == max(a, b)] = min(a, b)
+    index = simhash.GrayIndex(codes)
+    root = index.connected(2)
+    assert len(index.levels) == 4 and index.pruned > 0
+    assert len({*zip(root.tolist(), label.tolist())}) == len(set(root.tolist())) == len(set(label.tolist()))
+    assert index.visited + index.compared < len(codes) ** 2 // 4
+    frame = materialize(spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "_f long"), "codes")
+    assert simhash.key_bits(len(codes)) == 2
+    stars = components(simhash.links(frame)).collect()
+    place = {int(c): k for k, c in enumerate(codes.view(np.int64))}
+    assert len(stars) == len(codes) - len(set(label.tolist())) and all(label[place[r.a]] == label[place[r.b]] for r in stars)
 
 
 def test_tokens_round_trip(spark, docs, empty):
@@ -150,8 +174,6 @@ def test_packing(docs, empty):
 
 def test_mixing(docs, empty):
     sized = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", mixing.n_words("text").alias("size"))
-    from lexloom.llm.common import materialize
-
     placed, sources = mixing.place(materialize(sized, "t"))
     taken = {r[0]: r[1] for r in mixing.mix(placed, sources).groupBy("_row").agg(F.sum("length")).collect()}
     data = placed.collect()
