@@ -3,7 +3,7 @@
 A page becomes a list of text blocks, each at an element of the tree. A logistic classifier, fitted on the hand-marked
 pages of `html_examples`, gives each block the log-odds that it's main text: from its own length, links, marks and tag, the
 elements and names above it and its place. What stands beside it is for the edges. The log-odds are the capacities to the two terminals.
-Smoothness edges join each block to the next one and to the next of its tag in the same parent: stronger the fewer steps
+Smoothness edges join each block to the next one and to the next in the same parent: stronger the fewer steps
 of the tree lie between. The minimum cut, by max-flow (Dinic's), is the labelling of least total cost: a short paragraph
 or heading, unclear by itself, goes with what stands around it, and so does a prose-like teaser in a list of links.
 Blocks whose own cost outweighs all their edges keep their label in every minimum cut and are settled first.
@@ -73,6 +73,8 @@ MAIN_NAMES = frozenset("article articlebody content document entry main post pro
 
 #: Smoothness between neighbours in one parent; what each step between parents leaves of it, another tag, other flags above.
 NEAR, STEP, OTHER, FLAGS = 1.0, 0.45, 0.8, 0.2
+#: Blocks of one connected part beyond which it's reduced before the flow.
+LONG = 256
 #: Penalty on the classifier's squared weights.
 RIDGE = 0.3
 
@@ -246,7 +248,7 @@ class Page:
         """The smoothness edges."""
         out = []
         found, parent, depth = self.blocks, self.parent, self.depth
-        last: dict[tuple[int, str], int] = {}
+        last: dict[int, int] = {}
         kind = [(bool(self.apart[b.node]), bool(self.header[b.node]), self.named[b.node]) for b in found]
         share = [min(1.0, b.linked / len(b.text)) for b in found]
 
@@ -266,10 +268,10 @@ class Page:
                     steps += 1
                 if steps < 20:
                     out.append((i - 1, i, NEAR * STEP**steps * (1 if found[i - 1].tag == b.tag else OTHER) * alike(i - 1, i)))
-            j = last.get((up, b.tag))
+            j = last.get(up)
             if j is not None and j < i - 1:
                 out.append((j, i, NEAR * STEP * alike(j, i)))
-            last[up, b.tag] = i
+            last[up] = i
         return out
 
 
@@ -326,11 +328,47 @@ def minimum_cut(n: int, terminal: list[float], links: list[tuple[int, int, float
                     if j not in seen:
                         seen.add(j)
                         part.append(j)
-            for i, side in zip(part, _flow(part, left, around)):
+            if len(part) <= LONG:
+                for i, side in zip(part, _flow(part, left, around)):
+                    label[i] = side
+                continue
+            # a long chain would take a phase for each length of path: its blocks of one or two edges go first, exactly
+            gone, rest = _reduce(part, left, around)
+            for i, side in zip(rest, _flow(rest, left, around) if rest else ()):
                 label[i] = side
+            for i, u, ends in reversed(gone):
+                label[i] = u + sum(w if label[j] else -w for j, w in ends) > 0
     return [bool(x) for x in label]
 
 
+def _reduce(part: list[int], left: list[float], around: list[dict[int, float]]) -> tuple[list[tuple], list[int]]:
+    """Take blocks of two edges or fewer out one by one, each replaced by what its best label costs its neighbours: log-odds
+    and an edge between them. Returns those in order (block, its log-odds and edges then) and those that remain."""
+    gone: list[tuple] = []
+    out: set[int] = set()
+    todo = deque(i for i in part if len(around[i]) <= 2)
+    while todo:
+        i = todo.popleft()
+        if i in out or len(around[i]) > 2:
+            continue
+        u, ends = left[i], list(around[i].items())
+        out.add(i)
+        gone.append((i, u, ends))
+        (a, v), (b, w) = (*ends, (-1, 0.0), (-1, 0.0))[:2]
+        both = v + w
+        f00, f11, f01, f10 = min(0.0, both - u), min(both, -u), min(w, v - u), min(v, w - u)
+        edge = (f01 + f10 - f00 - f11) / 2
+        for j, f in ((a, f10), (b, f01)):
+            if j >= 0:
+                del around[j][i]
+                left[j] -= f - f00 - edge
+                todo.append(j)
+        if b >= 0 and edge > 0:
+            around[a][b] = around[b][a] = around[a].get(b, 0.0) + edge
+        around[i] = {}
+    return gone, [i for i in part if i not in out]
+
+
 def _flow(part: list[int], left: list[float], around: list[dict[int, float]]) -> list[bool]:
     """Dinic's max-flow over one connected part: phases of shortest paths, each saturated at once."""
     place = {i: k for k, i in enumerate(part)}
