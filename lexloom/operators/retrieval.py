@@ -68,7 +68,8 @@ def score_fuse(lists: DataFrame, method: str = "combmnz") -> DataFrame:
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row per list_id: mrr, recall, precision and ndcg at k. ranked (list_id, rank, id), relevant (id, gain)."""
-    best = relevant.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("gain")))).where(F.col("_r") <= k)
+    # the k best of each task, then of those: only k rows meet in one task
+    best = relevant.orderBy(F.desc("gain"), "id").limit(k).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("gain"), "id")))
     ideal = best.agg(F.sum(F.col("gain") / F.log2(F.col("_r") + 1)).alias("_ideal"))
     size = relevant.agg(F.count("*").alias("_all"))
     hit = ranked.join(relevant, "id", "left").withColumn("_in", F.col("gain").isNotNull() & (F.col("rank") <= k))

@@ -12,6 +12,7 @@ from lexloom.functions import plain as P
 from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, randoms, scrub, sketches, stems
 from lexloom.functions.columns import lift, spans
 from lexloom.operators import integrity, near_dup, retrieval
+from lexloom.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,13 +338,13 @@ def _signatures(spark: SparkSession, d: str) -> DataFrame:
 
 def _jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Each document against the next one."""
-    a = near_dup.written(_signatures(spark, d), "signatures")
+    a = materialize(_signatures(spark, d), "signatures")
     b = a.select((F.col("id") - 1).alias("id"), F.col("sig").alias("_b"))
     return a.join(b, "id").select("id", N.minhash_jaccard(F.col("sig"), F.col("_b")).alias("value"))
 
 
 QUERIES["minhash_jaccard"] = _jaccard
-QUERIES["lsh_candidates"] = lambda spark, d: near_dup.lsh_candidates(near_dup.written(_signatures(spark, d), "signatures"), 16, 8)
+QUERIES["lsh_candidates"] = lambda spark, d: near_dup.lsh_candidates(materialize(_signatures(spark, d), "signatures"), 16, 8)
 for _m in ("simhash", "shingle", "minhash"):
     QUERIES[f"dedup_near_dup_{_m}"] = lambda spark, d, m=_m: near_dup.dedup_near_dup(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 0.9, m)
 
