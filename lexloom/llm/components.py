@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize
+from lexloom.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,4 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == last:
             return down
         last = mark
-        down = materialize(_star(materialize(_star(down, True), "edges"), False), "edges")
+        large = materialize(_star(down, True), "edges")
+        old, down = down, materialize(_star(large, False), "edges")
+        discard(down.sparkSession, old, large)

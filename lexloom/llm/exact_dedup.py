@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import lower_ascii, materialize, read, small_enough
+from lexloom.llm.common import lower_ascii, materialize, read
 
 #: Counters of the summary, and how many of its heaviest digests get the broadcast path.
 SLOTS, HEAVY = 16_384, 2_048
@@ -56,28 +56,29 @@ def annotate(docs: DataFrame, slots: int = SLOTS, heavy: int = HEAVY) -> DataFra
 def deduplicate(docs: DataFrame, slots: int = SLOTS, heavy: int = HEAVY) -> DataFrame:
     """docs without all but the row of the largest doc_id of equal texts.
 
-    Texts never shuffle: only digests do. The groups of two and more come back as a broadcast table if they are few,
-    else as a join by digest.
+    The same split: winners of heavy digests, HEAVY at most, are broadcast and their other rows go map-side; what is left
+    meets the winners of its digest by shuffle, at every size.
     """
     columns = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.unhex(digest("text")).alias("_sha"))
     rows = packed.select(F.col("_doc.doc_id").alias("_id"), "_sha", F.xxhash64("_sha").alias("_short"))
     rows = materialize(rows, "digests")
-    short = F.broadcast(heavy_digests(rows, slots, heavy))
-    often = rows.join(short, "_short", "left_semi")
-    rest = rows.join(short, "_short", "left_anti")
+    short = materialize(heavy_digests(rows, slots, heavy), "heavy")
 
-    def groups(part: DataFrame) -> DataFrame:
+    def groups(part: DataFrame, label: str) -> DataFrame:
         tied = part.groupBy("_sha", "_id").agg(F.count("*").alias("_n"))
-        return tied.groupBy("_sha").agg(F.max(F.struct("_id", "_n")).alias("_win"), F.sum("_n").alias("_size"))
-
-    multiple = groups(often).unionByName(groups(rest)).where("_size > 1")
-    multiple = materialize(multiple.select("_sha", F.col("_win._id").alias("_keep"), F.col("_win._n").alias("_ties")), "groups")
-    joined = packed.join(small_enough(multiple), "_sha", "left")
-    kept = joined.where("_ties is null or (_ties = 1 and _doc.doc_id <=> _keep)").select("_doc.*")
-    if multiple.where("_ties > 1").isEmpty():
+        found = tied.groupBy("_sha").agg(F.max(F.struct("_id", "_n")).alias("_win"), F.sum("_n").alias("_size")).where("_size > 1")
+        return materialize(found.select("_sha", F.col("_win._id").alias("_keep"), F.col("_win._n").alias("_ties")), label)
+
+    often = groups(rows.join(F.broadcast(short), "_short", "left_semi"), "often")
+    seldom = groups(rows.join(F.broadcast(short), "_short", "left_anti"), "seldom")
+    stays = F.col("_ties").isNull() | F.col("_doc.doc_id").eqNullSafe(F.col("_keep"))
+    left = packed.join(F.broadcast(often), "_sha", "left").where(stays).withColumnsRenamed({"_keep": "_often", "_ties": "_often_ties"})
+    left = left.hint("merge").join(seldom, "_sha", "left").where(stays)
+    kept = left.where(F.coalesce("_ties", "_often_ties", F.lit(1)) == 1).select("_doc.*")
+    if often.where("_ties > 1").isEmpty() and seldom.where("_ties > 1").isEmpty():
         return kept
-    tied = joined.where("_ties > 1 and _doc.doc_id <=> _keep").groupBy("_sha").agg(F.first("_doc").alias("_doc"))
+    tied = left.where(F.coalesce("_ties", "_often_ties", F.lit(1)) > 1).groupBy("_sha").agg(F.first("_doc").alias("_doc"))
     return kept.unionByName(tied.select("_doc.*"))
 
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights in fixed-length blocks.
 
-1. Each source's documents, in a pseudorandom order, make one stream of words; a document's start in it comes from
+1. Each source's documents, in a pseudorandom order by a hash of doc_id and text, make one stream of words; a document's start in it comes from
    prefix sums over buckets of the order and within them, so that no task holds a whole source.
 2. The stream is cut into blocks of BLOCK words (the last may be short); a piece is a document's part of a block.
 3. Targets are shared out by weight; what a source can't give within `limit` passes is shared among the others.
@@ -9,7 +9,8 @@
 5. A source's slot j maps to block p(j mod n) of pass j div n, p a keyed Feistel permutation of the block numbers for that pass.
 6. Slots join pieces by source and block number.
 
-What is kept on the driver is a number per source, and per source and shard; sources are what weights are given for.
+What is kept on the driver is a number per source, and per source and shard; sources are what weights are given for, and
+more than SOURCES are refused.
 
 Edge cases: a null text has no words and takes part in nothing; a null source is a source like others, last in order;
 repeated rows are documents of their own; an empty table or one without words gives no slots.
@@ -30,6 +31,8 @@ from lexloom.llm.common import WORD, materialize, read, release
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, SHARDS, SEED, ROWS_PER_BUCKET = 128, 64, 20, 4_096
 ROUNDS = 4
+#: Sources that the driver takes at most, and slots to a task.
+SOURCES, TASK_SLOTS = 20_000, 1 << 18
 
 
 def n_words(text: str) -> Column:
@@ -98,9 +101,14 @@ def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def place(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
-    """rows (_row, source, size) -> (written rows with _src and _start, sources by rank: size and target)."""
+    """rows (_row, doc_id, _text, source, size) -> (written rows with _src and _start, sources by rank: size and target).
+
+    _text is a hash of the text: with doc_id it gives a row's place, whatever files and tasks the rows come in; _row only
+    tells rows apart that are equal in both."""
     spark = rows.sparkSession
-    found = [(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
+    found = [(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).limit(SOURCES + 1).collect()]
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: weights are for sources in this number")
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     total = sum(n for _, n in found)
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))]
@@ -109,13 +117,13 @@ def place(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
     ranks = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(found)], "_name string, _src int")
     keyed = rows.join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     buckets = 1 + rows.count() // ROWS_PER_BUCKET
-    keyed = keyed.withColumn("_h", F.xxhash64(F.lit(seed), "_row")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    keyed = keyed.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_text")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     sums = keyed.groupBy("_src", "_b").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("_src", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_src", "_b").orderBy("_h", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["_src", "_b"])
-    return materialize(placed.withColumn("_start", F.col("_base") + F.col("_in")).drop("_h", "_b", "_in", "_base"), "placed"), sources
+    return materialize(placed.withColumn("_start", F.col("_base") + F.col("_in")).drop("_h", "_b", "_in", "_base", "_text"), "placed"), sources
 
 
 def mix(placed: DataFrame, sources: list[dict], block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -135,7 +143,8 @@ def mix(placed: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
     counts = spark.createDataFrame(table, "shard int, _src int, _n long, _from long, _slot long, _blocks long")
     # slots of one row are one shard's of one source; its numbers are spread over tasks as ranges
     step = 4_096
-    spread = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))).alias("_lo")).repartition("shard", "_src", "_lo")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(slots) // TASK_SLOTS)
+    spread = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))).alias("_lo")).repartition(tasks, "shard", "_src", "_lo")
     each = spread.select("*", F.explode(F.sequence("_lo", F.least(F.col("_lo") + step, F.col("_n")) - 1)).alias("_i"))
     each = each.select("shard", (F.col("_slot") + F.col("_i")).alias("slot"), "_src", (F.col("_from") + F.col("_i")).alias("_j"), "_blocks")
     each = each.withColumn("pass", F.floor(F.col("_j") / F.col("_blocks")).cast("long"))
@@ -152,7 +161,7 @@ def mix(placed: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), "source", n_words("text").alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_text"), "source", n_words("text").alias("size"))
     placed, sources = place(materialize(rows, "sizes"))
     taken = mix(placed, sources).groupBy("_row").agg(F.sum("length").alias("taken"))
     totals = spark.createDataFrame([(i, s["size"], s["target"]) for i, s in enumerate(sources)], "_src int, source_size long, target double")
@@ -169,7 +178,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     rows = materialize(rows, "numbered")
-    sizes = rows.select("_row", F.col("_doc.source").alias("source"), n_words("_doc.text").alias("size"))
+    sizes = rows.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.xxhash64("_doc.text").alias("_text"), F.col("_doc.source").alias("source"), n_words("_doc.text").alias("size"))
     placed, sources = place(materialize(sizes, "sizes"))
     spans = mix(placed, sources).groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.shiftleft("at", 32) + F.col("length"))).alias("_spans"))
     spans = materialize(spans, "spans")

@@ -4,8 +4,7 @@
 2. The index is a written table of postings (trigram, text key) over the trigrams that any query names, sorted by
    trigram. A text key is the 64-bit hash of the text, so copies share their postings.
 3. Postings are intersected by counting, per text and clause, the clause's trigrams found; a full clause makes the text
-   a candidate of the rule. Candidates come back as a broadcast table if they are few, else by a join on the key; a
-   colliding key only adds a candidate.
+   a candidate of the rule. Candidates come back by a join on the key; a colliding key only adds a candidate.
 4. The regexes verify the candidates. Rules without mandatory trigrams (`hex`) scan every text.
 
 Matches are leftmost and non-overlapping per rule; those whose group is too short are dropped. Offsets are code points.
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, read, small_enough
+from lexloom.llm.common import materialize, read
 from lexloom.llm.regex_trigrams import trigram_query
 
 
@@ -104,7 +103,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     postings, named = build_index(docs, rules)
     found = materialize(candidates(postings, named, rules), "candidates")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    rows = rows.join(small_enough(found), "_key", "left")
+    # a hint keeps one plan at every size: texts meet the candidates by shuffle
+    rows = rows.hint("merge").join(found, "_key", "left")
     return rows.select("doc_id", F.array_sort(F.concat(*(_spans(r, i) for i, r in enumerate(rules)))).alias("spans"))
 
 

@@ -174,7 +174,7 @@ def test_packing(docs, empty):
 
 
 def test_mixing(docs, empty):
-    sized = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", mixing.n_words("text").alias("size"))
+    sized = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_text"), "source", mixing.n_words("text").alias("size"))
     placed, sources = mixing.place(materialize(sized, "t"))
     taken = {r[0]: r[1] for r in mixing.mix(placed, sources).groupBy("_row").agg(F.sum("length")).collect()}
     data = placed.collect()
