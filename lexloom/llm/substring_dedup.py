@@ -6,7 +6,7 @@ hash. Names are hashes of what they stand for, so every task of the Spark round
 exchanging dictionaries. Each symbol carries the words its existence depends on; a symbol is *interior* to a window if
 these lie in the window, and then every equal window has it, at the same place. Each window picks its highest interior
 symbol (the longest, then by hash). Neighbouring windows mostly pick the same one, which makes an anchor row: symbol,
-document, first window, and 40 bits of each window's own hash for verification. Windows of equal anchors (64 bits) and
+document, first window, and 48 bits of each window's own hash for verification. Windows of equal anchors (64 bits) and
 equal hashes are equal; all but the earliest are repeats.
 
 Rows travel packed: a chunk of about CHUNK words first resolves repeats within itself and emits each distinct window
@@ -33,7 +33,9 @@ from lexloom.llm.common import input_bytes, materialize, read, release
 
 WINDOW, ROUNDS, CHUNK = 20, 6, 400_000
 #: Bytes of input files to a bucket of anchors; its rows take about twice as much.
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8
+#: Bytes of a window's own hash that travel with its anchor.
+CHECKED = 6
 NULL_ID = np.iinfo(np.int64).min
 U = np.uint64
 _rng = np.random.default_rng(40)
@@ -219,7 +221,7 @@ def emit(buckets: int, window: int = WINDOW):
             rows["name"], rows["id"], rows["crc"], rows["start"], rows["n"] = name[f], ids_[doc[f]], crc[doc[f]], start[f], n
             bucket = (mixed(rows["name"]) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            short = np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :5])
+            short = np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :CHECKED])
             take = np.repeat(f[order] - np.r_[0, np.cumsum(n[order])[:-1]], n[order]) + np.arange(n.sum())
             short, rows, bucket = short[take], rows[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -262,7 +264,7 @@ def settle(table: pa.Table) -> pa.Table:
             gone.append(np.frombuffer(hashes.as_py(), "<i8").reshape(4, -1))
         else:
             raws.append(np.frombuffer(rows.as_py(), ROW))
-            shorts.append(np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, 5))
+            shorts.append(np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, CHECKED))
     if raws:
         rows, short = np.concatenate(raws), np.concatenate(shorts)
         del raws, shorts
@@ -276,7 +278,7 @@ def settle(table: pa.Table) -> pa.Table:
         short, rows = short[keep], rows[many]
         n = n[many]
         wide = np.zeros((len(short), 8), np.uint8)
-        wide[:, :5] = short
+        wide[:, :CHECKED] = short
         row = np.repeat(np.arange(len(rows)), n)
         start = rows["start"][row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         ids, crc = rows["id"][row], rows["crc"][row].astype(np.int64)
