@@ -15,7 +15,8 @@ _BLANK = re.compile(r"(?:\s|//[^\n]*|#[^\n]*|/\*.*?(?:\*/|\Z))*", re.S)
 _BARE = re.compile(r"[^,\]}\n]*")
 _BARE_KEY = re.compile(r"[^:,\]}\s]*")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
-MAX_DEPTH = 500
+#: Levels of nesting at most: beyond, there is no value to repair.
+MAX_DEPTH = 200
 
 
 class _Reader:
@@ -143,7 +144,7 @@ class _Reader:
 
 
 def repair_json_diagnostics(text: str, skip_json_loads: bool = False) -> tuple[Any, list[dict]]:
-    """(the value, what was mended); "" where no value is found."""
+    """(the value, what was mended); "" where no value is found, or one nested deeper than MAX_DEPTH."""
     text = strip_code_fences(text)
     if not skip_json_loads:
         try:
@@ -156,7 +157,10 @@ def repair_json_diagnostics(text: str, skip_json_loads: bool = False) -> tuple[A
         if text[: first.start()].strip():
             reader.note("prose_skipped")
         reader.at = first.start()
-        out = reader.value()
+        try:
+            out = reader.value()
+        except (ValueError, RecursionError):
+            return "", [{"action": "too_deep", "at": reader.at}]
     elif reader.peek() in _QUOTES and reader.peek():
         out = reader.string()
     else:
@@ -174,7 +178,10 @@ def repair_json_loads(text: str, skip_json_loads: bool = False) -> Any:
 
 def repair_json(text: str, skip_json_loads: bool = False, ensure_ascii: bool = True) -> str:
     value = repair_json_loads(text, skip_json_loads)
-    return "" if value == "" else json.dumps(value, ensure_ascii=ensure_ascii)
+    try:
+        return "" if value == "" else json.dumps(value, ensure_ascii=ensure_ascii)
+    except RecursionError:
+        return ""
 
 
 class JsonRepairer:

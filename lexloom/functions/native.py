@@ -165,3 +165,8 @@ def uuid7() -> Column:
 def minhash_jaccard(a: Column, b: Column) -> Column:
     """Share of equal rows of two signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
+
+
+def minhash_weighted_jaccard(a: Column, b: Column) -> Column:
+    """Share of rows, structs of hash and level, that are equal in both signatures."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)

@@ -36,7 +36,10 @@ def real_words(text: str) -> list[str]:
 
 
 def word_count(text: str) -> int:
-    return len(word_bounds(text))
+    if not text:
+        return 0
+    # breaks at both ends of the text count as one
+    return sum(1 for _ in _BREAK.finditer(text)) - 1
 
 
 def sentence_bounds(text: str) -> list[tuple[int, int]]:
@@ -107,8 +110,10 @@ def find_unescaped(haystack: bytes, needle: bytes) -> int:
     """The first place of needle with an even number of backslashes before it, or -1."""
     at = haystack.find(needle)
     while at >= 0:
-        slashes = at - len(haystack[:at].rstrip(b"\\"))
-        if slashes % 2 == 0:
+        first = at
+        while first and haystack[first - 1] == 92:
+            first -= 1
+        if (at - first) % 2 == 0:
             return at
         at = haystack.find(needle, at + 1)
     return -1
@@ -138,12 +143,11 @@ def detect_encoding(raw: bytes) -> str:
 
 # --- hashes
 def content_hash(text: str) -> str | None:
-    """SHA-256 of a JSON text in canonical form: sorted keys, no spaces, ASCII."""
+    """SHA-256 of a JSON text in canonical form: sorted keys, no spaces, ASCII; none for what is no JSON or nests too deep."""
     try:
-        value = json.loads(text)
-    except ValueError:
+        return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    except (ValueError, RecursionError):
         return None
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 # --- JSON and fences

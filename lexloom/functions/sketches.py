@@ -93,3 +93,10 @@ def weighted_minhash_signature(text: str, num_perm: int = 128, seed: int = 0) ->
     level = np.floor(weight[:, None] / r + beta)
     best = np.argmin(np.log(c) - (r * (level - beta) + r), axis=0)
     return [(int(keys[k]), int(level[k, i])) for i, k in enumerate(best)]
+
+
+def minhash_weighted_jaccard(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """Share of rows equal in both hash and level."""
+    if len(a) != len(b) or not len(a):
+        raise ValueError("signatures must be of one length, and not empty")
+    return sum(tuple(x) == tuple(y) for x, y in zip(a, b)) / len(a)

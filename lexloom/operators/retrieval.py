@@ -49,21 +49,37 @@ def first_positions(lists: DataFrame, *keep: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("list_id").orderBy("pos")))
 
 
-def rank_fuse(lists: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: id, score = sum of 1 / (k + rank)."""
-    return first_positions(lists).groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+def _weighted(first: DataFrame, weights: dict | None) -> DataFrame:
+    """first with _w, the weight of its list: 1 unless given. Weights are above zero and finite."""
+    if weights is None:
+        return first.withColumn("_w", F.lit(1.0))
+    if not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be above zero and finite")
+    given = first.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "_list string, _given double")
+    # as many rows as weights were written down
+    joined = first.join(F.broadcast(given), F.col("list_id").cast("string") == F.col("_list"), "left")
+    return joined.withColumn("_w", F.coalesce("_given", F.lit(1.0))).drop("_list", "_given")
 
 
-def score_fuse(lists: DataFrame, method: str = "combmnz") -> DataFrame:
-    """id, score by combmnz, linear (both on min-max scores, 0.5 where a list has no range) or borda."""
-    first = first_positions(lists, "score")
+def rank_fuse(lists: DataFrame, k: int = 60, weights: dict | None = None) -> DataFrame:
+    """Reciprocal rank fusion: id, score = sum of weight / (k + rank); weights by list_id."""
+    return _weighted(first_positions(lists), weights).groupBy("id").agg(F.sum(F.col("_w") / (k + F.col("rank"))).alias("score"))
+
+
+def score_fuse(lists: DataFrame, method: str = "combmnz", weights: dict | None = None, k: int | None = None) -> DataFrame:
+    """id, score by combmnz, linear (both on min-max scores, 0.5 where a list has no range) or borda; weights by list_id.
+
+    borda: a list's n ids get (n - rank) / n. k keeps the best ids only, ties by id."""
+    first = _weighted(first_positions(lists, "score"), weights)
     if method == "borda":
         sizes = first.groupBy("list_id").agg(F.count("*").alias("_n"))
-        return first.join(sizes, "list_id").groupBy("id").agg(F.sum((F.col("_n") - F.col("rank") + 1).cast("double")).alias("score"))
-    ranges = first.groupBy("list_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
-    total = F.sum(scaled) * (F.count("*") if method == "combmnz" else F.lit(1))
-    return first.join(ranges, "list_id").groupBy("id").agg(total.alias("score"))
+        out = first.join(sizes, "list_id").groupBy("id").agg(F.sum(F.col("_w") * (F.col("_n") - F.col("rank")) / F.col("_n")).alias("score"))
+    else:
+        ranges = first.groupBy("list_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+        scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+        total = F.sum(F.col("_w") * scaled) * (F.count("*") if method == "combmnz" else F.lit(1))
+        out = first.join(ranges, "list_id").groupBy("id").agg(total.alias("score"))
+    return out if k is None else out.orderBy(F.desc("score"), "id").limit(k)
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

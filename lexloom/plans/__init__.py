@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import native as N
 from lexloom.functions import plain as P
-from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, randoms, scrub, sketches, stems
+from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, phonetics, randoms, scrub, sketches, stems
 from lexloom.functions.columns import lift, spans
 from lexloom.operators import integrity, near_dup, retrieval
 from lexloom.scratch import materialize
@@ -62,8 +62,13 @@ scalar("b64_decode", lambda t: F.decode(lift(P.b64_decode, "binary", N.b64_encod
 scalar("utf8_byte_len", N.utf8_byte_len, "strlen(text)::INTEGER")
 scalar("utf16_byte_len", N.utf16_byte_len, r"(2 * length(text) + 2 * length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INTEGER")
 scalar("detect_encoding", lambda t: lift(P.detect_encoding, "string", F.encode(t, "UTF-8")), "'UTF-8'")
-scalar("find_unescaped", lambda t: lift(P.find_unescaped, "int", F.encode(t, "UTF-8"), needle=b'"'), column="props", table="events", key="event_id")
-scalar("contains_unescaped", lambda t: lift(P.contains_unescaped, "boolean", F.encode(t, "UTF-8"), needle=b'"'), column="props", table="events", key="event_id", sql="contains(props, '\"')")
+# quotes behind one, two and three backslashes, made from the JSON's own
+_ESCAPED = lambda t: F.replace(F.replace(t, F.lit('"'), F.lit('\\"')), F.lit(':'), F.concat(F.repeat(F.lit("\\"), F.pmod(F.length(t), F.lit(4))), F.lit('"')))
+_ESCAPED_SQL = """replace(replace(props, '"', '\\"'), ':', repeat('\\', length(props) % 4) || '"')"""
+_FOUND_SQL = f"regexp_extract({_ESCAPED_SQL}, '^((?:[^\\\\\"]|\\\\.)*)\"', 1)"
+_HAS_SQL = f"regexp_matches({_ESCAPED_SQL}, '^(?:[^\\\\\"]|\\\\.)*\"')"
+scalar("find_unescaped", lambda t: lift(P.find_unescaped, "int", F.encode(_ESCAPED(t), "UTF-8"), needle=b'"'), column="props", table="events", key="event_id", sql=f"CASE WHEN {_HAS_SQL} THEN strlen({_FOUND_SQL}) ELSE -1 END::INTEGER")
+scalar("contains_unescaped", lambda t: lift(P.contains_unescaped, "boolean", F.encode(_ESCAPED(t), "UTF-8"), needle=b'"'), column="props", table="events", key="event_id", sql=_HAS_SQL)
 scalar("quote", N.quote, "replace(url_encode(text), '%2F', '/')")
 scalar("quote_plus", N.quote_plus, "replace(url_encode(text), '%20', '+')")
 scalar("unquote", lambda t: lift(P.unquote, "string", N.quote(t)), "text")
@@ -158,7 +163,10 @@ def _grounded_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["is_grounded_fuzzy"] = _grounded_fuzzy
 pair("soundex", lambda a, b: F.soundex(F.regexp_replace(a, "[^A-Za-z]", "")))
-pair("refined_soundex", lambda a, b: lift(P.refined_soundex, "string", a))
+scalar("refined_soundex", lambda t: lift(P.refined_soundex, "string", t), table="customer", key="c_custkey", column="c_name")
+for _n in ("metaphone", "daitch_mokotoff"):
+    scalar(_n, lambda t, f=_n: lift(getattr(phonetics, f), "string" if f == "metaphone" else "array<string>", t), table="nation", key="n_nationkey", column="n_name")
+scalar("double_metaphone", lambda t: lift(lambda x: dict(zip(("first", "second"), phonetics.double_metaphone(x))), "struct<first:string,second:string>", t), table="nation", key="n_nationkey", column="n_name")
 
 # --- near duplicates
 _signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -228,11 +236,15 @@ g AS (SELECT list_id, id, min(pos) AS pos, arg_min(score, pos) AS score FROM l G
 f AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY list_id) AS n,
       min(score) OVER (PARTITION BY list_id) AS lo, max(score) OVER (PARTITION BY list_id) AS hi FROM g)"""
 _SCALED = "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END"
+_WEIGHTS = {"BUILDING": 2.0, "MACHINERY": 0.5}
+_WEIGHT = "CASE list_id WHEN 'BUILDING' THEN 2.0::DOUBLE WHEN 'MACHINERY' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
 for _name, _build, _expr in (
     ("rank_fuse", retrieval.rank_fuse, "sum(1.0::DOUBLE / (60 + rank))"),
     ("score_fuse_combmnz", lambda x: retrieval.score_fuse(x, "combmnz"), f"sum({_SCALED}) * count(*)"),
     ("score_fuse_linear", lambda x: retrieval.score_fuse(x, "linear"), f"sum({_SCALED})"),
-    ("score_fuse_borda", lambda x: retrieval.score_fuse(x, "borda"), "sum(n - rank + 1)::DOUBLE"),
+    ("score_fuse_borda", lambda x: retrieval.score_fuse(x, "borda"), "sum((n - rank)::DOUBLE / n)"),
+    ("rank_fuse_weighted", lambda x: retrieval.rank_fuse(x, weights=_WEIGHTS), f"sum({_WEIGHT} / (60 + rank))"),
+    ("score_fuse_weighted", lambda x: retrieval.score_fuse(x, "combmnz", _WEIGHTS), f"sum({_WEIGHT} * {_SCALED}) * count(*)"),
 ):
     QUERIES[_name] = lambda spark, d, b=_build: b(_lists(spark, d)).withColumn("score", F.round("score", 6))
     ORACLE[_name] = f"WITH {_LISTS} SELECT id, round({_expr}, 6) AS score FROM f GROUP BY id"
@@ -304,7 +316,7 @@ _OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 _ops = lambda found: [dict(zip(("tag", "i1", "i2", "j1", "j2"), x)) for x in found]
 pair("diff_opcodes", lambda a, b: lift(lambda x, y: _ops(diffs.diff_opcodes(x, y)), _OPCODES, a, b))
 pair("diff_opcodes_lines", lambda a, b: lift(lambda x, y: _ops(diffs.diff_opcodes_lines(x, y)), _OPCODES, F.replace(a, F.lit("#"), F.lit("\n")), F.replace(b, F.lit("#"), F.lit("\n"))))
-pair("nysiis", lambda a, b: lift(names.nysiis, "string", a))
+scalar("nysiis", lambda t: lift(names.nysiis, "string", t), table="customer", key="c_custkey", column="c_name")
 pair("grounding_coverage", lambda a, b: lift(grounding.grounding_coverage, "double", a, b))
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 scalar("get_close_matches", lambda t: lift(P.get_close_matches, "array<string>", t, possibilities=_SEGMENTS, cutoff=0.3), table="customer", key="c_custkey", column="c_mktsegment")
@@ -344,6 +356,17 @@ def _jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["minhash_jaccard"] = _jaccard
+
+
+def _weighted_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against its own text in capitals and without its first 40 characters."""
+    kind = "array<struct<hash:long,level:long>>"
+    sign = lambda t: lift(lambda x: [dict(zip(("hash", "level"), (sketches.signed([h])[0], k))) for h, k in sketches.weighted_minhash_signature(x, 16)], kind, t)
+    t = F.coalesce("text", F.lit(""))
+    return read(spark, d, "documents").select("doc_id", N.minhash_weighted_jaccard(sign(t), sign(F.expr("substring(upper(coalesce(text, '')), 41)"))).alias("value"))
+
+
+QUERIES["minhash_weighted_jaccard"] = _weighted_jaccard
 QUERIES["lsh_candidates"] = lambda spark, d: near_dup.lsh_candidates(materialize(_signatures(spark, d), "signatures"), 16, 8)
 for _m in ("simhash", "shingle", "minhash"):
     QUERIES[f"dedup_near_dup_{_m}"] = lambda spark, d, m=_m: near_dup.dedup_near_dup(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 0.9, m)
