@@ -28,7 +28,7 @@ def scalar(name: str, value: Callable[[Column], Column], sql: str | None = None,
     """A query (key, value) of one column's function over a whole table."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir, table).select(key, value(F.col(column)).alias("value"))
+        return read(spark, sf_dir, table).select(*key.split(", "), value(F.col(column)).alias("value"))
 
     QUERIES[name] = query
     if sql:
@@ -80,8 +80,10 @@ for _k in ("md5", "sha1", "sha256"):
     scalar(f"{_k}_digest", lambda t, k=_k: N.b64_encode_bytes(N.digest(k, t)), f"base64(unhex({_k}(text)))")
 scalar("sha512_hex", lambda t: N.digest_hex("sha512", t))
 scalar("sha512_digest", lambda t: N.b64_encode_bytes(N.digest("sha512", t)))
-scalar("hmac_sha256_hex", lambda t: N.hmac_sha256_hex(F.lit("key"), t))
-scalar("hmac_sha256_digest", lambda t: N.b64_encode_bytes(F.unhex(N.hmac_sha256_hex(F.lit("key"), t))))
+_PAD = lambda x: bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex()
+_HMAC = f"sha256(unhex('{_PAD(0x5C)}') || unhex(sha256(unhex('{_PAD(0x36)}') || encode(text))))"
+scalar("hmac_sha256_hex", lambda t: N.hmac_sha256_hex(F.lit("key"), t), _HMAC)
+scalar("hmac_sha256_digest", lambda t: N.b64_encode_bytes(F.unhex(N.hmac_sha256_hex(F.lit("key"), t))), f"base64(unhex({_HMAC}))")
 scalar("content_hash", lambda t: lift(P.content_hash, "string", t), table="events", key="event_id", column="props")
 
 
@@ -124,24 +126,24 @@ scalar("truncate_ellipsis", lambda t: lift(P.truncate_ellipsis, "string", t, max
 _PATTERNS = {"the": "THE", "then": "THEN", "licensed under": "(c)", "Apache License": "AL"}
 scalar("find_patterns", lambda t: lift(lambda x: [{"start": a, "end": b, "pattern": i} for a, b, i in P.matcher(list(_PATTERNS))(x)], "array<struct<start:int,end:int,pattern:int>>", t))
 scalar("count_matches", lambda t: F.regexp_count(t, F.lit("licensed under|Apache License|then|the")), "len(regexp_extract_all(text, 'licensed under|Apache License|then|the'))::INTEGER")
-scalar("replace_many", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS))
-scalar("replace_many_masked", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS, mask="*"))
+scalar("replace_many", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS), "replace(replace(replace(replace(text, 'licensed under', '(c)'), 'Apache License', 'AL'), 'then', 'THEN'), 'the', 'THE')")
+scalar("replace_many_masked", lambda t: lift(P.replace_many, "string", t, replacements=_PATTERNS, mask="*"), "replace(replace(replace(replace(text, 'licensed under', '(c)***********'), 'Apache License', 'AL************'), 'then', 'THEN'), 'the', 'THE')")
 scalar("first_invalid_charset", lambda t: lift(P.first_invalid_charset, "int", F.array(t), rest="abcdefghijklmnopqrstuvwxyz0123456789_", first="abcdefghijklmnopqrstuvwxyz"), column="event_type", table="events", key="event_id", sql="CASE WHEN regexp_full_match(event_type, '[a-z][a-z0-9_]*') THEN -1 ELSE 0 END::INTEGER")
 scalar("json_is_valid", lambda t: lift(P.json_is_valid, "boolean", t), "json_valid(props)", "events", "event_id", "props")
-scalar("extract_code_blocks", lambda t: lift(lambda x: [{"lang": a, "code": b, "start": c, "end": d} for a, b, c, d in P.extract_code_blocks(x)], "array<struct<lang:string,code:string,start:int,end:int>>", t), table="conversations", key="conv_id, turn".split(",")[0])
+scalar("extract_code_blocks", lambda t: lift(lambda x: [{"lang": a, "code": b, "start": c, "end": d} for a, b, c, d in P.extract_code_blocks(x)], "array<struct<lang:string,code:string,start:int,end:int>>", t), table="conversations", key="conv_id, turn")
 scalar("strip_code_fences", lambda t: lift(P.strip_code_fences, "string", t))
 
 
-# --- pairs: every customer's name beside that of the next key
+# --- pairs: every customer's name beside that of the seventh next, or itself where there is none
 def pair(name: str, value: Callable[[Column, Column], Column], sql: str | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("a"))
         d = c.select((F.col("c_custkey") - 7).alias("c_custkey"), F.col("a").alias("b"))
-        return c.join(d, "c_custkey").select("c_custkey", value(F.col("a"), F.col("b")).alias("value"))
+        return c.join(d, "c_custkey", "left").withColumn("b", F.coalesce("b", "a")).select("c_custkey", value(F.col("a"), F.col("b")).alias("value"))
 
     QUERIES[name] = query
     if sql:
-        ORACLE[name] = f"SELECT c_custkey, {sql} AS value FROM (SELECT x.c_custkey, x.c_name AS a, y.c_name AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 7)"
+        ORACLE[name] = f"SELECT c_custkey, {sql} AS value FROM (SELECT x.c_custkey, x.c_name AS a, coalesce(y.c_name, x.c_name) AS b FROM customer x LEFT JOIN customer y ON y.c_custkey = x.c_custkey + 7)"
 
 
 pair("levenshtein", N.levenshtein, "levenshtein(a, b)::INTEGER")
@@ -175,11 +177,13 @@ scalar("simhash128", lambda t: lift(lambda x: format(P.simhash(x, 128), "032x"),
 
 
 def _distance(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "events").select("event_id", F.xxhash64("props").alias("a"), F.xxhash64("event_type").alias("b"))
-    return rows.select("event_id", N.simhash_distance(F.col("a"), F.col("b")).alias("value"))
+    """Of two products of each line's keys, which have bits all over."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 2_654_435_761).alias("a"), (F.col("l_partkey") * -40_503_000_017).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", N.simhash_distance(F.col("a"), F.col("b")).alias("value"))
 
 
 QUERIES["simhash_distance"] = _distance
+ORACLE["simhash_distance"] = "SELECT l_orderkey, l_linenumber, bit_count(xor(l_orderkey::BIGINT * 2654435761, l_partkey::BIGINT * -40503000017))::INTEGER AS value FROM lineitem"
 
 
 def _lsh(spark: SparkSession, d: str) -> DataFrame:
@@ -285,6 +289,12 @@ each("word_bounds_iter", lambda t: spans(P.word_bounds, t))
 each("sentence_bounds_iter", lambda t: spans(P.sentence_bounds, t))
 for _f, _kw in (("chunk_by_words", {"n": 100, "overlap": 10}), ("chunk_by_sentences", {"n": 5}), ("chunk_by_lines", {"n": 3, "overlap": 1}), ("chunk_by_paragraphs", {"n": 2}), ("chunk_text", {"max_chars": 400})):
     each(f"{_f}_iter", lambda t, f=_f, kw=_kw: spans(getattr(P, f), t, **kw))
+_ANY = "licensed under|Apache License|then|the"
+_NUMBER = "CASE x " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(_PATTERNS)) + " END"
+ORACLE["find_patterns_iter"] = f"""
+WITH m AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '{_ANY}') AS m, string_split_regex(text, '{_ANY}') AS g FROM documents WHERE regexp_matches(text, '{_ANY}')),
+s AS (SELECT rid, doc_id, unnest([struct_pack(n := i - 1, a := list_sum([length(y) FOR y IN g[1:i]]) + list_sum([0] || [length(y) FOR y IN m[1:i-1]]), x := m[i]) FOR i IN range(1, len(m) + 1)], recursive := true) FROM m)
+SELECT doc_id, n::INTEGER AS n, a::INTEGER AS start, (a + length(x))::INTEGER AS "end", ({_NUMBER})::INTEGER AS pattern FROM s"""
 each("find_patterns_iter", lambda t: lift(lambda x: [{"start": a, "end": b, "pattern": i} for a, b, i in P.matcher(list(_PATTERNS))(x)], "array<struct<start:int,end:int,pattern:int>>", t))
 
 # --- more chunks
@@ -329,11 +339,11 @@ scalar("ground_sentences", lambda t: lift(lambda x: grounding.ground_sentences(x
 
 
 def _grounding_report(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn against the turn before it."""
+    """Each turn against the turn before it, a first one against itself."""
     c = read(spark, d, "conversations").select("conv_id", "turn", "text")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
     verdict = lift(lambda x, y: {k: float(v) for k, v in grounding.grounding_report(x, [y])["aggregate"].items()}, "struct<grounded_ratio:double,mean_score:double,best_score:double,coverage:double>", "text", "source")
-    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", verdict.alias("value"))
+    return c.join(before, ["conv_id", "turn"], "left").withColumn("source", F.coalesce("source", "text")).select("conv_id", "turn", verdict.alias("value"))
 
 
 QUERIES["grounding_report"] = _grounding_report
@@ -349,10 +359,10 @@ def _signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against the next one."""
+    """Each document against the next one, or itself where there is none."""
     a = materialize(_signatures(spark, d), "signatures")
     b = a.select((F.col("id") - 1).alias("id"), F.col("sig").alias("_b"))
-    return a.join(b, "id").select("id", N.minhash_jaccard(F.col("sig"), F.col("_b")).alias("value"))
+    return a.join(b, "id", "left").select("id", N.minhash_jaccard(F.col("sig"), F.coalesce("_b", "sig")).alias("value"))
 
 
 QUERIES["minhash_jaccard"] = _jaccard
