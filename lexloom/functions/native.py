@@ -12,7 +12,9 @@ TOKEN = r"[\p{L}\p{M}\p{Nd}_]+(?:['.:][\p{L}][\p{L}\p{M}\p{Nd}_]*|['.,;][\p{Nd}]
 
 
 def _icu(text: Column, method: str, compat: bool) -> Column:
-    return F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(compat))
+    # ASCII is in every form, and a reflected call costs more than the look
+    other = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(compat))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(other)
 
 
 def nfc(t: Column) -> Column:

@@ -13,6 +13,7 @@ import json
 import math
 import re
 import urllib.parse
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
 import regex
@@ -320,18 +321,45 @@ def chunk_by_paragraphs(text: str, n: int, overlap: int = 0) -> list[tuple[int,
     return _windows([s for s in spans if s[0] < s[1]], n, overlap)
 
 
+def _last_word_end(text: str, at: int, limit: int) -> int:
+    """The last break in (at, limit] whose segment isn't white space, or 0. Looks at the text's end first, then further back."""
+    width = 96
+    while True:
+        # breaks at the very beginning of the look may be none in the whole text
+        low = max(0, limit - width)
+        sure = low + 16 if low else 0
+        best, last = 0, 0
+        for m in _BREAK.finditer(text, low):
+            b = m.start()
+            if b > limit:
+                break
+            if b > at and b > sure and not (text[b - 1].isspace() and text[last:b].isspace()):
+                best = b
+            if b >= sure:
+                last = b
+        if best or sure <= at:
+            return best
+        width *= 4
+
+
 def chunk_text(text: str, max_chars: int, overlap: int = 0, boundary: str = "word") -> list[tuple[int, int]]:
     """Spans of at most max_chars that end at a boundary where one is in reach, else at a cluster; nothing is left out."""
-    ends = sorted({b for a, b in (word_bounds(text) if boundary == "word" else sentence_bounds(text)) if not text[a:b].isspace()})
-    clusters = sorted(_clusters(text)) if len(text) > max_chars else []
-    from bisect import bisect_right
-
+    ends: list[int] = []
+    if boundary != "word" and len(text) > max_chars:
+        ends = sorted({b for a, b in sentence_bounds(text) if not text[a:b].isspace()})
+    clusters: list[int] = []
     out, at = [], 0
     while at < len(text):
         stop = len(text)
         if stop - at > max_chars:
-            k = bisect_right(ends, at + max_chars) - 1
-            stop = ends[k] if k >= 0 and ends[k] > at else clusters[bisect_right(clusters, at + max_chars) - 1]
+            if boundary == "word":
+                stop = _last_word_end(text, at, at + max_chars)
+            else:
+                k = bisect_right(ends, at + max_chars) - 1
+                stop = ends[k] if k >= 0 else 0
+            if stop <= at:
+                clusters = clusters or sorted(_clusters(text))
+                stop = clusters[bisect_right(clusters, at + max_chars) - 1]
             if stop <= at:
                 stop = clusters[bisect_right(clusters, at)]
         out.append((at, stop))
