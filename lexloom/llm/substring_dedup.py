@@ -10,9 +10,11 @@ document, first window, and 48 bits of each window's own hash for verification.
 equal hashes are equal; all but the earliest are repeats.
 
 Rows travel packed: a chunk of about CHUNK words first resolves repeats within itself and emits each distinct window
-once, so that a passage in a third of all documents gives a row per chunk and not per document; anchors go to BUCKETS
-buckets by symbol, a blob for each bucket and chunk. Buckets are sized by the input. Removed windows return as ranges
-per document, and documents are cut in a last pass.
+once, so that a passage in a third of all documents gives a row per chunk and not per document. A task remembers up to
+SEEN windows that it sent, those that came again longest: a window with an earlier place among them is a repeat at once
+and needs no row, so that a passage in most chunks gives a few rows per task. Anchors go to buckets by symbol, a blob
+for each bucket and chunk. Buckets are sized by the input. Removed windows return as ranges per document, and documents
+are cut in a last pass.
 
 Order is by doc_id, then start. Edge cases: null texts have no words; documents of equal doc_id are one in that order:
 a window counts as earlier only if (doc_id, start) is smaller, so repeated rows of one doc_id keep what they share at
@@ -34,6 +36,8 @@ from lexloom.llm.common import input_bytes, materialize, read, release
 WINDOW, ROUNDS, CHUNK = 20, 6, 400_000
 #: Bytes of input files to a bucket of anchors; its rows take about twice as much.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8
+#: Windows that a task remembers, of about 30 bytes each.
+SEEN = 1 << 20
 #: Bytes of a window's own hash that travel with its anchor.
 CHECKED = 6
 NULL_ID = np.iinfo(np.int64).min
@@ -161,8 +165,48 @@ def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[True, k[1:] != k[:-1]][: len(k)]
 
 
-def chunk_rows(ids: np.ndarray, texts: list[bytes], buckets: int, window: int = WINDOW):
-    """A chunk's (repeats within it: document places and starts; anchors sorted by bucket with their windows)."""
+class Seen:
+    """Windows that a task has sent, by hash, with the earliest place of each. Forgetting some only costs rows."""
+
+    def __init__(self, most: int = SEEN):
+        self.most, self.turn = most, 0
+        self.hash, self.id, self.start = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.worth = np.empty(0, np.int32)
+
+    def earlier(self, hash: np.ndarray, id: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which windows were sent from an earlier place; equal hashes must come from one place."""
+        found = np.zeros(len(hash), bool)
+        if not len(hash):
+            return found
+        self.turn += 1
+        new, back = np.unique(hash, return_index=True)
+        nid, nstart = id[back], start[back].astype(np.int32)
+        at = np.searchsorted(self.hash, new)
+        known = np.zeros(len(new), bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == new[inside]
+        old = at[known]
+        before = (self.id[old] < nid[known]) | ((self.id[old] == nid[known]) & (self.start[old] < nstart[known]))
+        late = new[known][before]
+        if len(late):
+            place = np.minimum(np.searchsorted(late, hash), len(late) - 1)
+            found = late[place] == hash
+        self.id[old], self.start[old] = np.where(before, self.id[old], nid[known]), np.where(before, self.start[old], nstart[known])
+        # a window that comes again lives one turn longer each time, counted from now
+        self.worth[old] = np.maximum(self.worth[old], self.turn) + 1
+        fresh = ~known
+        parts = (new, nid, nstart, np.full(len(new), self.turn, np.int32))
+        merged = [np.concatenate([a, b[fresh]]) for a, b in zip((self.hash, self.id, self.start, self.worth), parts)]
+        if len(merged[0]) > self.most:
+            stay = np.argpartition(merged[3], len(merged[3]) - self.most)[-self.most :]
+            merged = [a[stay] for a in merged]
+        order = np.argsort(merged[0], kind="stable")
+        self.hash, self.id, self.start, self.worth = (a[order] for a in merged)
+        return found
+
+
+def chunk_rows(ids: np.ndarray, texts: list[bytes], seen: Seen, window: int = WINDOW):
+    """A chunk's (repeats of its own or of what was sent before: document places and starts; windows to send with their anchors)."""
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
     names, bounds = word_names(texts)
@@ -185,7 +229,11 @@ def chunk_rows(ids: np.ndarray, texts: list[bytes], buckets: int, window: int =
     first[by] = (ids[doc[by]] == ids[doc[by[head]]]) & (start[by] == start[by[head]])
     lead = np.zeros(len(at), bool)  # of those that tie, one of each text goes on
     lead[by] = first[by] & (new | np.r_[True, crc[doc[by]][1:] != crc[doc[by]][:-1]])
-    repeat, go = ~first, np.flatnonzero(lead)
+    go = np.flatnonzero(lead)
+    sent = seen.earlier(whole[go], ids[doc[go]], start[go])
+    # ranges are by doc_id and text, so that one of several equal rows speaks for all
+    repeat, go = ~first, go[~sent]
+    repeat[np.flatnonzero(lead)[sent]] = True
     return ids, crc, (doc[repeat], start[repeat]), (doc[go], start[go], name[go], whole[go])
 
 
@@ -205,8 +253,8 @@ ROW = np.dtype([("name", "<u8"), ("id", "<i8"), ("crc", "<u4"), ("start", "<i4")
 def emit(buckets: int, window: int = WINDOW):
     """mapInArrow: (doc_id, text) -> (bucket, rows, hashes, id, from, to); repeats within a chunk have ranges and a null bucket's place."""
 
-    def flush(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = chunk_rows(np.array(ids, np.int64), texts, buckets, window)
+    def flush(ids: list[int], texts: list[bytes], seen: Seen) -> Iterator[pa.RecordBatch]:
+        found = chunk_rows(np.array(ids, np.int64), texts, seen, window)
         if found is None:
             return
         ids_, crc, (rdoc, rstart), (doc, start, name, whole) = found
@@ -239,17 +287,17 @@ def emit(buckets: int, window: int = WINDOW):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         texts: list[bytes] = []
-        size = 0
+        size, seen = 0, Seen()
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 ids.append(NULL_ID if i is None else i)
                 texts.append(t or b"")
                 size += len(t or b"")
                 if size >= 6 * CHUNK:
-                    yield from flush(ids, texts)
+                    yield from flush(ids, texts, seen)
                     ids, texts, size = [], [], 0
         if ids:
-            yield from flush(ids, texts)
+            yield from flush(ids, texts, seen)
         release()
 
     return run

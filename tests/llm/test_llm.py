@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -349,6 +350,50 @@ def test_equal_windows_have_equal_anchors():
         assert all(len(x) == 1 for x in seen.values()), trial
 
 
+@pytest.mark.parametrize("most", [1, 30, 1 << 20])
+def test_windows_that_a_task_remembers(monkeypatch, most):
+    # two tasks of chunks of a few documents, whatever is remembered
+    monkeypatch.setattr(substring_dedup, "CHUNK", 20)
+    monkeypatch.setattr(substring_dedup.Seen.__init__, "__defaults__", (most,))
+    rng = random.Random(most)
+    for trial in range(10):
+        passages = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(20, 50))] for _ in range(3)]
+        data = []
+        for _ in range(60):
+            words = [f"u{rng.randint(0, 30)}" for _ in range(rng.randint(0, 40))]
+            for _ in range(rng.randint(0, 2)):
+                words += [*rng.choice(passages), f"v{rng.randint(0, 99)}"]
+            data.append((rng.randint(0, 50), " ".join(words)))
+        data += data[:5]
+        rng.shuffle(data)
+        first = {}
+        windows = lambda t: [(k, tuple(t.split()[k : k + 20])) for k in range(len(t.split()) - 19)]
+        for i, t in data:
+            for k, x in windows(t):
+                first[x] = min(first.get(x, (i, k)), (i, k))
+        buckets, gone = {}, {}
+        for part in (data[::2], data[1::2]):
+            batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": [t for _, t in part]})
+            for out in substring_dedup.emit(4)(iter([batch])):
+                for row in out.to_pylist():
+                    buckets.setdefault(row["bucket"], []).append(row)
+        for found in buckets.values():
+            table = pa.table({k: pa.array([r[k] for r in found], pa.binary()) for k in ("rows", "hashes")})
+            for r in substring_dedup.settle(table).to_pylist():
+                gone.setdefault((r["_id"], r["_crc"]), set()).update(range(r["_from"], r["_to"]))
+        for i, t in data:
+            want = {j for k, x in windows(t) if first[x] < (i, k) for j in range(k, k + 20)}
+            assert gone.get((i, zlib.crc32(t.encode())), set()) == want
+
+
+def test_a_common_passage_gives_few_rows(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 20)
+    passage = " ".join(f"w{k}" for k in range(40))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "text": [passage] * 200})
+    sent = [row for out in substring_dedup.emit(1)(iter([batch])) for row in out.to_pylist()]
+    assert sum(len(r["hashes"]) for r in sent if r["rows"]) == 21 * substring_dedup.CHECKED
+
+
 def test_secrets(docs, empty):
     for r in secrets.scan(docs).collect():
         assert all(s.end > s.start for s in r.spans)
