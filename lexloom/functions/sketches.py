@@ -62,6 +62,42 @@ def minhash_signature(text: str, num_perm: int = 128, shingle_size: int = 3, see
     return out if bits is None else [v & ((1 << bits) - 1) for v in out]
 
 
+def _mixed(state: np.ndarray) -> np.ndarray:
+    """The output of SplitMix64 at a state already advanced."""
+    z = (state ^ (state >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
+    return z ^ (z >> _U(31))
+
+
+def superminhash_signature(text: str, num_perm: int = 128, shingle_size: int = 3, seed: int = 0, block: int = 4_096) -> list[int]:
+    """SuperMinHash (Ertl 2017) of a text's shingles, each row the bits of a double.
+
+    A shingle's own stream deals a permutation of the rows, step by step; its j-th row gets j plus a uniform draw, and a row
+    keeps its least value. As that is a minimum, blocks of shingles go through each step together, in any order, until the
+    step is above all rows.
+    """
+    tokens = [t.encode() for t in fold(text)]
+    hashes = sorted({_hash(tokens[i : i + shingle_size]) for i in range(len(tokens) - shingle_size + 1)})
+    least = np.full(num_perm, np.inf)
+    frame = (2).to_bytes(8, "little") + (seed % (1 << 64)).to_bytes(8, "little")
+    step = _U(0x9E3779B97F4A7C15)
+    for first in range(0, len(hashes), block):
+        some = hashes[first : first + block]
+        state = np.fromiter((xxhash.xxh64_intdigest(frame + h.to_bytes(8, "little")) for h in some), np.uint64, len(some))
+        rows, at = np.tile(np.arange(num_perm), (len(some), 1)), np.arange(len(some))
+        for j in range(num_perm):
+            if j > least.max():
+                break
+            state = state + step
+            draw = np.minimum(((_mixed(state) >> _U(11)).astype(float) + 0.5) * 2.0**-53, np.nextafter(1.0, 0.0))
+            state = state + step
+            k = j + (_mixed(state) % _U(num_perm - j)).astype(np.int64)
+            chosen = rows[at, k]
+            rows[at, k] = rows[:, j]
+            np.minimum.at(least, chosen, draw + j)
+    return [EMPTY] * num_perm if not hashes else [int(v) for v in least.view(np.uint64)]
+
+
 def signed(values: list[int]) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.scratch import materialize
+
 
 def leaves(chunks: DataFrame) -> DataFrame:
     """(idx from 0, chunk) -> (idx, h)."""
@@ -28,7 +30,8 @@ def merkle_root(chunks: DataFrame, levels_at_once: int = 12) -> DataFrame:
         folded = folded.select("idx", F.transform("_c", lambda x: x["h"]).alias("_c"))
         for _ in range(levels_at_once):
             folded = folded.select("idx", _halved(F.col("_c")).alias("_c"))
-        level = folded.select("idx", F.get("_c", F.lit(0)).alias("h"))
+        # written, so that counting and the next round don't fold it anew
+        level = materialize(folded.select("idx", F.get("_c", F.lit(0)).alias("h")), "merkle")
         if level.count() <= 1:
             return level.select(F.lower(F.hex("h")).alias("root"))
 

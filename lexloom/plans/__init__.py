@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import native as N
 from lexloom.functions import plain as P
-from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, phonetics, randoms, scrub, sketches, stems
+from lexloom.functions import chunks, diffs, grounding, json_repair, markup, names, office, phonetics, randoms, scrub, sketches, stems
 from lexloom.functions.columns import lift, spans
 from lexloom.operators import integrity, near_dup, retrieval
 from lexloom.scratch import materialize
@@ -88,13 +88,14 @@ scalar("content_hash", lambda t: lift(P.content_hash, "string", t), table="event
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("chunk"))
+    """Events in order of their ids, whose hashes are more than one round folds."""
+    return read(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("idx"), F.col("props").alias("chunk"))
 
 
 QUERIES["merkle_root"] = lambda spark, d: integrity.merkle_root(_chunks(spark, d))
 ORACLE["merkle_root"] = """
 WITH RECURSIVE t(lvl, i, h, n) AS (
-  SELECT 0, n_nationkey::BIGINT, sha256('\\x00'::BLOB || encode(n_name)), count(*) OVER () FROM nation
+  SELECT 0, event_id::BIGINT, sha256('\\x00'::BLOB || encode(props)), count(*) OVER () FROM events
   UNION ALL
   SELECT lvl + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(min_by(h, i)) || unhex(max_by(h, i))) ELSE min(h) END, (any_value(n) + 1) // 2
   FROM t WHERE n > 1 GROUP BY lvl, i // 2)
@@ -318,6 +319,12 @@ scalar("repair_json_diagnostics", lambda t: lift(lambda x: [a["action"] for a in
 scalar("repair_json_loads", lambda t: lift(lambda x: type(json_repair.repair_json_loads(x)).__name__, "string", t), table="events", key="event_id", column="props")
 scalar("to_markdown", lambda t: lift(markup.html_to_markdown, "string", t), table="pages", key="page_id", column="html")
 scalar("to_text", lambda t: lift(markup.html_to_text, "string", t), table="pages", key="page_id", column="html")
+# what CSV and RTF files of customers would hold
+_CSV = lambda: F.encode(F.concat_ws("\n", F.lit("name,segment"), F.concat_ws(",", F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment")), "UTF-8")
+_RTF = lambda: F.encode(F.concat(F.lit("{\\rtf1\\ansi{\\info{\\author x}}"), F.col("c_name"), F.lit("\\par {\\b "), F.col("c_mktsegment"), F.lit("}}")), "UTF-8")
+_FILE = "struct<value:string,error:string>"
+scalar("to_markdown_csv", lambda _: lift(lambda x: office.converted(x, "csv"), _FILE, _CSV())["value"], "'| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |'", "customer", "c_custkey", "c_name")
+scalar("to_text_rtf", lambda _: lift(lambda x: office.converted(x, "rtf", True), _FILE, _RTF())["value"], "c_name || chr(10) || chr(10) || c_mktsegment", "customer", "c_custkey", "c_name")
 scalar("sniff", lambda t: markup.sniff(F.encode(t, "UTF-8")), table="pages", key="page_id", column="html")
 scalar("apply_pipeline_stemmed", lambda t: lift(stems.apply_terms, "string", N.collapse_whitespace(N.strip_accents(F.lower(t))), stemmer="english"))
 
@@ -376,6 +383,7 @@ def _weighted_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", N.minhash_weighted_jaccard(sign(t), sign(F.expr("substring(upper(coalesce(text, '')), 41)"))).alias("value"))
 
 
+scalar("superminhash_signature", lambda t: lift(lambda x: sketches.signed(sketches.superminhash_signature(x)), "array<long>", t))
 QUERIES["minhash_weighted_jaccard"] = _weighted_jaccard
 QUERIES["lsh_candidates"] = lambda spark, d: near_dup.lsh_candidates(materialize(_signatures(spark, d), "signatures"), 16, 8)
 for _m in ("simhash", "shingle", "minhash"):
