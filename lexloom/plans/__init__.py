@@ -13,6 +13,7 @@ from lexloom.functions import chunks, diffs, grounding, json_repair, markup, nam
 from lexloom.functions.columns import lift, spans
 from lexloom.operators import integrity, near_dup, retrieval
 from lexloom.scratch import materialize
+from lexloom.streaming import json_repair as json_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,6 +318,17 @@ scalar("first_invalid_offender", lambda t: F.try_element_at(F.regexp_extract_all
 scalar("repair_json", lambda t: lift(json_repair.repair_json, "string", F.expr("substring(props, 1, length(props) - 1)")), table="events", key="event_id", column="props")
 scalar("repair_json_diagnostics", lambda t: lift(lambda x: [a["action"] for a in json_repair.repair_json_diagnostics(x)[1]], "array<string>", F.expr("substring(props, 1, length(props) - 1)")), table="events", key="event_id", column="props")
 scalar("repair_json_loads", lambda t: lift(lambda x: type(json_repair.repair_json_loads(x)).__name__, "string", t), table="events", key="event_id", column="props")
+
+
+def _repair_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's properties in three chunks; the closing bracket is lost on the way."""
+    parts = "posexplode(array(substring(props, 1, 5), substring(props, 6, 5), substring(props, 11, greatest(0, length(props) - 11)))) AS (seq, chunk)"
+    rows = read(spark, d, "events").selectExpr("event_id AS stream_id", parts)
+    found = json_stream.repair_json_stream(rows.selectExpr("*", "seq = 2 AS last"))
+    return found.select(F.col("stream_id").cast("long").alias("event_id"), "value", "ended")
+
+
+QUERIES["repair_json_stream"] = _repair_stream
 scalar("to_markdown", lambda t: lift(markup.html_to_markdown, "string", t), table="pages", key="page_id", column="html")
 scalar("to_text", lambda t: lift(markup.html_to_text, "string", t), table="pages", key="page_id", column="html")
 # what CSV and RTF files of customers would hold
