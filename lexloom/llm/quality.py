@@ -18,7 +18,7 @@ Words are known by 48 bits of a hash, bigrams by KEY_BITS within their bucket. B
 A document is judged by its log perplexity under the whole model and under the model's lowest order alone, in which a word
 counts by the kinds of words before it. A language's bands limit the lowest order's below and above, and the whole model's
 above. (The whole model's says nothing below: near copies of a clean text make each other's bigrams known, but hardly add
-kinds.) Limits are fitted on labelled rows (see fit): CLEAN_LOSS of the labelled clean rows that pass the base rules fall
+kinds.) Limits are fitted on all labelled rows (see fit): CLEAN_LOSS of the labelled clean rows that pass the base rules fall
 outside, parted among the three ends so that the most labelled junk does. They are offsets from the medians of clean rows,
 wider for texts under FULL_WORDS by the root of what they lack, as short texts scatter more. Languages of under
 LEAST_LABELS such rows have quartiles of all that pass the base rules, FENCE interquartile ranges (of at least
@@ -45,8 +45,6 @@ from lexloom.llm.substring_dedup import U, mixed, word_names
 
 FENCE, LEAST_SPREAD, FULL_WORDS = 3.0, 0.01, 200
 CLEAN_LOSS, LEAST_LABELS = 0.01, 100
-#: Labelled rows that the limits are fitted on at most, the first by hash of doc_id.
-LABELLED = 50_000
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Characters that a task takes in before it sends a slice, or names words together.
 SLICE, PART = 24_000_000, 1_000_000
@@ -394,7 +392,9 @@ def scores(docs: DataFrame, slice_chars: int = SLICE) -> DataFrame:
 
 def fit(continuation: np.ndarray, whole: np.ndarray, words: np.ndarray, clean: np.ndarray) -> tuple[float, float, float, float, float]:
     """(median and offsets down and up for the lowest order, median and offset up for the whole model), for texts of
-    FULL_WORDS and more: CLEAN_LOSS of the clean rows fall outside, as much junk as can be. The loss is parted in fifths."""
+    FULL_WORDS and more: CLEAN_LOSS of the clean rows fall outside, as much junk as can be. The loss is parted in fifths.
+
+    Of arrays; fitted() does the same over tables."""
     middle = [float(np.median(x[clean])) for x in (continuation, whole)]
     width = np.sqrt(np.maximum(1.0, FULL_WORDS / np.maximum(words, 1)))
     z, y = (continuation - middle[0]) / width, (whole - middle[1]) / width
@@ -409,11 +409,96 @@ def fit(continuation: np.ndarray, whole: np.ndarray, words: np.ndarray, clean: n
 
 
 BAND = "_lang string, _middle double, _down double, _up double, _whole double, _top double"
+#: Offsets are counted by steps of this width first, and by value only in the steps that hold a limit.
+STEP = 0.001
+#: What fit asks for: kind of offset (0 of the lowest order, 1 of the whole model) and quantile; down, up and top in fifths of the loss.
+ASKED = [*((0, CLEAN_LOSS * i / 5) for i in range(6)), *((0, 1 - CLEAN_LOSS * i / 5) for i in range(6)), *((1, 1 - CLEAN_LOSS * i / 5) for i in range(6))]
+
+
+def _ends(total: int) -> list[tuple[int, int, float]]:
+    """(kind, rank below, part of the way to the next) of each quantile in ASKED of so many values."""
+    at = [(kind, q * (total - 1)) for kind, q in ASKED]
+    return [(kind, int(x), x - int(x)) for kind, x in at]
+
+
+def limit_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (_lang, _total, _steps of (kind, step, n)) -> the steps that hold a value asked for, with the values before them."""
+    out = []
+    for batch in batches:
+        for lang, total, steps in zip(*(batch.column(c).to_pylist() for c in ("_lang", "_total", "_steps"))):
+            wanted = {(kind, min(r + d, total - 1)) for kind, r, _ in _ends(total) for d in (0, 1)}
+            for kind in (0, 1):
+                found = sorted((x["step"], x["n"]) for x in steps if x["kind"] == kind)
+                ends = np.cumsum([n for _, n in found])
+                for i in sorted({int(np.searchsorted(ends, r, "right")) for k, r in wanted if k == kind}):
+                    out.append((lang, kind, found[i][0], int(ends[i] - found[i][1])))
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+    columns = zip(*out) if out else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_lang", "_kind", "_step", "_before"])
+
+
+def limit_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (_lang, _total, _values of (kind, before, value, n)) -> _lang and the quantiles in ASKED; values are those
+    of limit_steps, before is the number of values before their step."""
+    out = []
+    for batch in batches:
+        for lang, total, values in zip(*(batch.column(c).to_pylist() for c in ("_lang", "_total", "_values"))):
+            known = []
+            for kind in (0, 1):
+                found = sorted((x["before"], x["value"], x["n"]) for x in values if x["kind"] == kind)
+                before, value, n = (np.array(x) for x in zip(*found))
+                within = np.cumsum(n) - n
+                first = np.r_[True, before[1:] != before[:-1]]  # a step's least value
+                begins = before + within - np.maximum.accumulate(np.where(first, within, 0))
+                known.append((begins, value))
+            limits = []
+            for kind, r, part in _ends(total):
+                begins, value = known[kind]
+                low, high = (value[np.searchsorted(begins, min(x, total - 1), "right") - 1] for x in (r, r + 1))
+                limits.append(float(low + (high - low) * part))
+            out.append((lang, limits))
+    columns = zip(*out) if out else [[]] * 2
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.float64())))], ["_lang", "_limits"])
+
+
+def fitted(held: DataFrame) -> DataFrame:
+    """BAND: fit's five numbers of each language of LEAST_LABELS clean rows and more, from all rows.
+
+    held (written): lang, x and y (log perplexity under the lowest order and under the whole model), n_words, clean. Numbers of
+    values are summed up by language; a task holds those by step, or by value within the steps that hold a limit."""
+    # x and y have four places, so that the exact percentiles hold a bounded number of distinct values
+    middles = held.where("clean").groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total"), F.percentile("x", F.lit(0.5)).alias("_middle"), F.percentile("y", F.lit(0.5)).alias("_whole"))
+    middles = materialize(middles.where(F.col("_total") >= LEAST_LABELS), "middles")
+    width = F.sqrt(F.greatest(F.lit(1.0), FULL_WORDS / F.greatest("n_words", F.lit(1))))
+    placed = held.join(small_enough(middles), F.col("lang").eqNullSafe(F.col("_lang")))
+    placed = placed.select("_lang", "clean", ((F.col("x") - F.col("_middle")) / width).alias("_z"), ((F.col("y") - F.col("_whole")) / width).alias("_y"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("_z", "_y")))))
+    counts = placed.where("clean").select("_lang", each.alias("_v")).select("_lang", "_v.*").groupBy("_lang", "kind", "value").agg(F.count("*").alias("n"))
+    counts = materialize(counts.withColumn("step", F.floor(F.col("value") / STEP)), "offsets")
+
+    def by_language(rows: DataFrame, columns: tuple, name: str) -> DataFrame:
+        found = rows.groupBy(F.col("_lang").alias("_l")).agg(F.collect_list(F.struct(*columns)).alias(name))
+        return found.join(small_enough(middles.select("_lang", "_total")), F.col("_l").eqNullSafe(F.col("_lang"))).select("_lang", "_total", name)
+
+    steps = counts.groupBy("_lang", "kind", "step").agg(F.sum("n").alias("n"))
+    steps = by_language(steps, ("kind", "step", "n"), "_steps").mapInArrow(limit_steps, "_lang string, _kind int, _step long, _before long")
+    steps = small_enough(materialize(steps.withColumnRenamed("_lang", "_l"), "steps"))
+    values = counts.join(steps, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("kind") == F.col("_kind")) & (F.col("step") == F.col("_step")))
+    values = by_language(values.withColumnRenamed("_before", "before"), ("kind", "before", "value", "n"), "_values")
+    limits = materialize(values.mapInArrow(limit_values, "_lang string, _limits array<double>"), "limits").withColumnRenamed("_lang", "_l")
+    junk = placed.where("not clean").join(small_enough(limits), F.col("_lang").eqNullSafe(F.col("_l")))
+    at = F.col("_limits")
+    parts = [(i, 6 + j, 12 + 5 - i - j) for i in range(6) for j in range(6 - i)]
+    outside = [F.sum(((F.col("_z") < at[i]) | (F.col("_z") > at[j]) | (F.col("_y") > at[k])).cast("long")) for i, j, k in parts]
+    outside = junk.groupBy(F.col("_lang").alias("_j")).agg(F.array(*outside).alias("_n"))
+    out = limits.join(small_enough(materialize(outside, "outside")), F.col("_l").eqNullSafe(F.col("_j")), "left").join(small_enough(middles), F.col("_l").eqNullSafe(F.col("_lang")))
+    best = [F.struct(F.coalesce(F.col("_n")[m], F.lit(0)).alias("n"), at[i].alias("low"), at[j].alias("high"), at[k].alias("top")) for m, (i, j, k) in enumerate(parts)]
+    out = out.withColumn("_best", F.array_max(F.array(*best)))
+    return out.select("_lang", "_middle", F.col("_best.low").alias("_down"), F.col("_best.high").alias("_up"), "_whole", F.col("_best.top").alias("_top"))
 
 
 def bands(scored: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """BAND: a row for each language; fit's five numbers."""
-    spark = scored.sparkSession
+    """BAND: a row for each language; fit's five numbers, from all rows that have a label."""
     # rounded, so that the exact percentiles hold a bounded number of distinct values
     passed = scored.where("not base_failed").select("lang", F.round("log_continuation", 3).alias("_x"), F.round("log_perplexity", 3).alias("_y"))
     at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
@@ -423,19 +508,13 @@ def bands(scored: DataFrame, labels: DataFrame | None) -> DataFrame:
     found = quartiles.select("_lang", q[1].alias("_middle"), (q[0] - spread - q[1]).alias("_down"), (q[2] + spread - q[1]).alias("_up"), r[1].alias("_whole"), (r[2] + rise - r[1]).alias("_top"))
     if labels is None:
         return found
-    # LABELLED ids at most, and a row for each
+    # one label for each id, the lesser of several; all rows of an id have it. By shuffle at every size, as both sides grow
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id is not null and quality is not null")
-    known = known.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id")).limit(LABELLED)
-    known = F.broadcast(materialize(known, "labelled"))
-    held = scored.where("not base_failed").join(known, F.col("doc_id") == F.col("_id"))
-    held = held.groupBy("_id").agg(F.min(F.struct("lang", "log_continuation", "log_perplexity", "n_words", "quality")).alias("_r")).select("_r.*").toPandas()
-    fitted = []
-    for lang, g in held.groupby("lang", dropna=False):
-        clean = (g.quality == 1).to_numpy()
-        if clean.sum() >= LEAST_LABELS:
-            fitted.append((lang if isinstance(lang, str) else None, *fit(g.log_continuation.to_numpy(), g.log_perplexity.to_numpy(), g.n_words.to_numpy(), clean)))
-    own = spark.createDataFrame(fitted, BAND)
-    return found.join(own.select(F.col("_lang").alias("_own")), F.col("_lang").eqNullSafe(F.col("_own")), "left_anti").unionByName(own)
+    known = materialize(known.groupBy("_id").agg(F.min("quality").alias("quality")), "labelled")
+    held = scored.where("not base_failed").select("doc_id", "lang", F.col("log_continuation").alias("x"), F.col("log_perplexity").alias("y"), "n_words")
+    held = held.hint("merge").join(known, F.col("doc_id") == F.col("_id"))
+    own = materialize(fitted(materialize(held.select("lang", "x", "y", "n_words", (F.col("quality") == 1).alias("clean")), "held")), "fitted")
+    return found.join(small_enough(own.select(F.col("_lang").alias("_own"))), F.col("_lang").eqNullSafe(F.col("_own")), "left_anti").unionByName(own)
 
 
 def judged(docs: DataFrame, labels: DataFrame | None = None, slice_chars: int = SLICE) -> DataFrame:

@@ -312,6 +312,29 @@ def test_quality_band_fits_labels(spark):
     assert {(r.doc_id, r.kept) for r in few} == {(r.doc_id, r.kept) for r in quality.judged(frame).collect()}
 
 
+def test_quality_band_fits_all_labels(spark):
+    # more labelled rows than any bound on them, ids that repeat, two labels for an id, a null language, one with few labels
+    rng = np.random.default_rng(3)
+    n = 120_000
+    lang = rng.choice(["en", "fr", ""], n, p=[0.6, 0.3, 0.1])
+    lang[:50] = "de"
+    clean = rng.random(n) < 0.9
+    x = np.round(rng.normal(6, 0.2, n) + np.where(clean, 0, rng.choice([-1, 1], n) * rng.random(n)), 4)
+    y = np.round(rng.normal(7, 0.3, n) + np.where(clean, 0, 1.5 * rng.random(n)), 4)
+    words = rng.integers(50, 400, n)
+    ids = np.arange(n) - (np.arange(n) % 1000 == 1)  # some ids have two rows
+    clean = clean[ids]
+    table = pa.table({"doc_id": ids, "lang": pa.array([x or None for x in lang]), "log_continuation": x, "log_perplexity": y, "n_words": words, "base_failed": [False] * n})
+    labels = pa.table({"doc_id": np.r_[ids, ids[~clean][:9]], "quality": np.r_[clean.astype(int), [1] * 9]})  # the lesser counts
+    got = {r._lang: tuple(r)[1:] for r in quality.bands(materialize(spark.createDataFrame(table), "t"), spark.createDataFrame(labels)).collect()}
+    assert set(got) == {"en", "fr", None, "de"}
+    for k in ("en", "fr", None):
+        some = lang == (k or "")
+        assert np.allclose(got[k], quality.fit(x[some], y[some], words[some], clean[some]), rtol=0, atol=1e-9), k
+    fence = {r._lang: tuple(r)[1:] for r in quality.bands(spark.createDataFrame(table), None).collect()}
+    assert got["de"] == fence["de"]
+
+
 def test_substrings(docs, empty):
     data = [(r.doc_id, r.text or "") for r in docs.collect()]
     first = {}
