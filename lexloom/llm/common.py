@@ -6,7 +6,8 @@ Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,27 @@ def unique_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+_KEPT: list = []
+
+
+def kept(most: int) -> Callable:
+    """lru_cache for what lives on in a Python worker from task to task, until a task of another kind drops it."""
+
+    def cached(function: Callable) -> Callable:
+        _KEPT.append(lru_cache(maxsize=most)(function))
+        return _KEPT[-1]
+
+    return cached
+
+
+def drop_kept() -> None:
+    """Give up what earlier tasks of other kinds keep in this Python worker: executors have more workers than tasks at a
+    time, all of them live on, and each has its own."""
+    for function in _KEPT:
+        function.cache_clear()
+    release()
+
+
 def release() -> None:
     """Give memory that a Python worker has freed back to the machine; workers live on between tasks."""
     import ctypes

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, input_bytes, materialize, new_path, read, release, small_enough
+from lexloom.llm.common import discard, drop_kept, input_bytes, materialize, new_path, read, release, small_enough
 from lexloom.llm.substring_dedup import U, mixed, word_names
 
 FENCE, LEAST_SPREAD, FULL_WORDS = 3.0, 0.01, 200
@@ -48,6 +48,8 @@ CLEAN_LOSS, LEAST_LABELS = 0.01, 100
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Characters that a task takes in before it sends a slice, or names words together.
 SLICE, PART = 24_000_000, 1_000_000
+#: Rows of a batch that are Python values together.
+ROWS = 500
 #: Words that are scored together, more only for a longer text.
 TOKENS = 500_000
 #: Bytes of input files to a bucket.
@@ -210,8 +212,9 @@ def gather(folder: str, buckets: int, slice_chars: int = SLICE):
             held.setdefault(lang, []).append((names, np.diff(bounds), docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         held, part, size, small = {}, {}, 0, 0
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             for i, lang, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "text_key"))):
                 part.setdefault(lang, []).append((i, t or "", k))
                 small += len(t or "") + 50

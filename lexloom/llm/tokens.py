@@ -12,12 +12,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexloom.llm.common import kept
+
 #: Pieces that the memo holds at most unless told otherwise; beyond, it forgets those that only one batch had.
 MEMO = 400_000
 #: Bytes of text that are encoded together.
@@ -132,9 +133,9 @@ class Encoder:
         return ids, np.r_[0, ends[bounds[1:] + np.arange(len(texts))]]
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def encoder(path: str, end_id: int, width: int = 4, memo: int = MEMO) -> Encoder:
-    """One encoder per Python worker; its memo lives on from task to task."""
+    """One encoder per Python worker; its memo lives on from task to task, until the language model's tasks drop it."""
     return Encoder(path, end_id, width, memo)
 
 

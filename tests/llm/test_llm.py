@@ -335,6 +335,18 @@ def test_quality_band_fits_all_labels(spark):
     assert got["de"] == fence["de"]
 
 
+def test_quality_drops_what_packing_keeps():
+    # a worker that packed keeps an encoder with its memo; the language model's tasks need that memory
+    from lexloom.llm import tokens
+
+    path = _vocabulary("byte_bpe_50k.json")
+    tokens.encoder(path, 2)(pa.array(["some words"]))
+    assert tokens.encoder.cache_info().currsize
+    assert not [b for b in quality.gather("file:///tmp/none", 6)(iter([])) if len(b)]
+    assert not tokens.encoder.cache_info().currsize
+    assert tokens.encoder(path, 2)(pa.array(["some words"]))[0][-1] == 2
+
+
 def test_substrings(docs, empty):
     data = [(r.doc_id, r.text or "") for r in docs.collect()]
     first = {}
