@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,6 +213,24 @@ def test_pipeline(spark, tmp_path):
     assert order(corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").collect()) == order(tuple(r[:5]) for r in frames[4])
 
 
+def test_pipeline_fits_bands_on_all_labels(spark, tmp_path, monkeypatch):
+    # scores by reckoning: 60,000 labelled rows; the stage keeps those that a fit on all of them keeps
+    import corpus_pipeline
+
+    n = 60_000
+    rng = np.random.default_rng(4)
+    clean, x, y = rng.random(n) < 0.9, np.round(rng.normal(6, 0.2, n), 4), np.round(rng.normal(7, 0.3, n), 4)
+    x = np.where(clean, x, np.round(x + rng.choice([-0.6, 0.6], n), 4))
+    numbers = {"doc_id": np.arange(n), "lang": ["en"] * n, "log_perplexity": y, "log_continuation": x, **{c: np.full(n, 300 * (c == "n_words")) for c in quality.COUNTS}}
+    spark.createDataFrame(pa.table(numbers)).withColumn("text_key", F.xxhash64(F.lit("t"))).write.parquet(f"{tmp_path}/scored")
+    spark.createDataFrame(pa.table({"doc_id": np.arange(n), "quality": clean.astype(int)})).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(quality, "scores", lambda docs, slice_chars: spark.read.parquet(f"{tmp_path}/scored"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("t").alias("text"))
+    got = {r.doc_id for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect()}
+    middle, low, high, whole, top = quality.fit(x, y, np.full(n, 300), clean)
+    assert got == set(np.flatnonzero((middle + low <= x) & (x <= middle + high) & (y <= whole + top)).tolist())
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
