@@ -13,7 +13,8 @@ context of its own), trained on all texts of a language. Its size has no ceiling
    itself, so that words and bigrams that no other text has are unseen and get backoff's mass only (discounts are those
    of all texts). Log perplexity is by word.
 
-Words are known by 48 bits of a hash, bigrams by KEY_BITS within their bucket. Buckets grow in number with the input; slices are bounded.
+Words are known by 48 bits of a hash, bigrams by KEY_BITS, so that of 10^8 bigrams hardly one pair is taken for one. Buckets
+grow in number with the input; slices are bounded.
 
 A document is judged by its log perplexity under the whole model and under the model's lowest order alone, in which a word
 counts by the kinds of words before it. A language's bands limit the lowest order's below and above, and the whole model's
@@ -54,9 +55,9 @@ ROWS = 500
 TOKENS = 500_000
 #: Bytes of input files to a bucket.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 6
-#: Bits kept of a word's name, and of a bigram's hash within its bucket.
-KEY_BITS = 36
-NAME, KEY = U((1 << 48) - 1), U((1 << KEY_BITS) - 1)
+#: Bits kept of a word's name, and of a bigram's hash; the hash's upper bits give its bucket.
+KEY_BITS = 56
+NAME = U((1 << 48) - 1)
 _STATS = 5  # of a word: times a context, kinds that follow by total of 1, 2, more, kinds that precede
 
 
@@ -136,14 +137,14 @@ class Slice:
         before[begins] = self.token[0]
         kinds, self.place, n = np.unique(before << 32 | after, return_inverse=True, return_counts=True)
         before, after = kinds >> 32, kinds & 0xFFFFFFFF
-        key = mixed(self.words[before] * U(0x9E3779B97F4A7C15) + self.words[after])
-        bucket, key = (key >> U(40)) % U(buckets), key & KEY
-        order = np.argsort(bucket << U(KEY_BITS) | key, kind="stable")
+        key = mixed(self.words[before] * U(0x9E3779B97F4A7C15) + self.words[after]) >> U(64 - KEY_BITS)
+        order = np.argsort(key, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.place = back[self.place]
         self.before, self.after, self.n, self.key = before[order], after[order], n[order], key[order]
-        self.cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
+        bucket = (self.key >> U(KEY_BITS - 32)) * U(buckets) >> U(32)
+        self.cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
 
     def log_probabilities(self, n, stats, d2, d1, c1, c2, _3, _4, kinds, total) -> np.ndarray:
         """Sums of log probabilities of each text's words under the model of all other texts, and under its lowest order.
@@ -167,9 +168,10 @@ class Slice:
             kind, gone = np.minimum(left, 3), left == 0
             _, at = np.unique(doc * len(self.words) + self.before[gram], return_inverse=True)
             times = stats[self.before[gram], 0] - np.bincount(at, k)[at]
-            back = mass[self.before[gram]] - np.bincount(at, d2[np.minimum(n[gram], 3)] - d2[kind])[at]
+            # a context that other texts have keeps a kind; the bound only matters if two bigrams have one key
+            back = np.maximum(mass[self.before[gram]] - np.bincount(at, d2[np.minimum(n[gram], 3)] - d2[kind])[at], d2[1:].min())
             _, at = np.unique(doc * len(self.words) + self.after[gram], return_inverse=True)
-            follows = stats[self.after[gram], 4] - np.bincount(at, gone)[at].astype(np.int64)
+            follows = np.maximum(stats[self.after[gram], 4] - np.bincount(at, gone)[at].astype(np.int64), 0)
             others = np.maximum(total - np.bincount(doc, gone, b - a), 1)[doc]
             lower = (follows - d1[np.minimum(follows, 3)]) / others + rest / max(kinds, 1)
             some = np.maximum(times, 1)

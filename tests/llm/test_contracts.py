@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexloom.llm import mixing, quality, registry, secrets
+from lexloom.llm.substring_dedup import mixed
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,6 +232,30 @@ def test_pipeline_fits_bands_on_all_labels(spark, tmp_path, monkeypatch):
     assert got == set(np.flatnonzero((middle + low <= x) & (x <= middle + high) & (y <= whole + top)).tolist())
 
 
+def test_pipeline_counts_each_bigram():
+    # millions of kinds: with 36 bits in each of six buckets some were taken for one, and so not counted
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 5_000, 3_000_000)
+    s = quality.Slice.of("en", mixed(words.astype(np.uint64)), np.array([len(words)]), np.zeros((1, 8), np.int64))
+    s.count(6)
+    kinds = 1 + len(np.unique(words[:-1] * 5_000 + words[1:]))  # the first word follows the text's start
+    assert len(s.key) == kinds == sum(len(np.unique(quality.unpack_ascending(quality.pack_ascending(s.key[a:b])))) for a, b in zip(s.cut, s.cut[1:]))
+    assert s.cut[0] == 0 and s.cut[-1] == kinds and np.diff(s.cut).min() > kinds / 7
+
+
+def test_pipeline_scores_are_finite():
+    # two bigrams with one key lose a kind of their words: scores stay finite, as they are what limits are fitted on
+    rng = np.random.default_rng(6)
+    lengths = np.array([700, 0, 1_300])
+    s = quality.Slice.of("en", mixed(rng.integers(0, 400, 2_000).astype(np.uint64)), lengths, np.zeros((3, 8), np.int64))
+    s.count(3)
+    times, follow = np.bincount(s.before, s.n, len(s.words)), np.bincount(s.before, minlength=len(s.words))
+    stats = np.stack([times, follow, 0 * follow, 0 * follow, np.bincount(s.after, minlength=len(s.words))], 1).astype(np.int64)
+    stats[::3, 1:] -= 1
+    d = np.array([0, 0.5, 0.7, 0.9])
+    assert np.isfinite(s.log_probabilities(s.n, stats, d, d, 9, 5, 3, 1, 400, len(s.n))).all()
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
