@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.scratch import discard, materialize, new_path, shared_dir  # noqa: F401
+from lexloom.scratch import discard, materialize, materialize_freed, new_path, shared_dir  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

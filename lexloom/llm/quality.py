@@ -6,7 +6,8 @@ context of its own), trained on all texts of a language. Its size has no ceiling
 1. Tasks gather slices of texts of one language, name their words by hashes, store a slice's state (words, word
    numbers, base counts) in the shared folder and send its distinct bigrams with their counts to buckets by hash.
 2. A bucket adds the counts up and answers each slice: the total of each bigram that it sent, and whether this slice is
-   the bigram's owner, the one slice that counts it as a kind.
+   the bigram's owner, the one slice that counts it as a kind. Buckets are asked in TURNS, each for its share of them; a
+   turn's shuffle files are deleted before the next, so that never all bigrams lie on disk at once.
 3. A slice gathers for each of its words, from owned bigrams, how many kinds follow it (by total of 1, 2, more) and
    precede it, and how often it is a context; buckets by word add these up and answer in the same way.
 4. With both answers and the language's discounts a slice scores its own texts, each under the counts of all texts but
@@ -35,13 +36,14 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, drop_kept, input_bytes, materialize, new_path, read, release, small_enough
+from lexloom.llm.common import discard, drop_kept, input_bytes, materialize, materialize_freed, new_path, read, release, small_enough
 from lexloom.llm.substring_dedup import U, mixed, word_names
 
 FENCE, LEAST_SPREAD, FULL_WORDS = 3.0, 0.01, 200
@@ -55,6 +57,8 @@ ROWS = 500
 TOKENS = 500_000
 #: Bytes of input files to a bucket.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 6
+#: Turns in which slices ask the bigrams' buckets. More take less disk, and each makes all slices anew from their state.
+TURNS = 2
 #: Bits kept of a word's name, and of a bigram's hash; the hash's upper bits give its bucket.
 KEY_BITS = 56
 NAME = U((1 << 48) - 1)
@@ -192,11 +196,18 @@ ANSWER = "slice string, lang string, bucket long, path string, at long, size lon
 
 def _asks(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "slice", "lang", "keys", "counts"])
+    columns = zip(*rows) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "slice", "lang", "keys", "counts"])
+
+
+def _bigram_asks(s: Slice, name: str, lang: str | None, turn: int) -> pa.RecordBatch:
+    """A row for each of the turn's buckets that a counted slice has bigrams in; for bucket 0 always."""
+    rows = [(b, name, lang, pack_ascending(s.key[x:y]), pack(s.n[x:y])) for b, (x, y) in enumerate(zip(s.cut, s.cut[1:])) if b % TURNS == turn and (x < y or b == 0)]
+    return _asks(rows)
 
 
 def gather(folder: str, buckets: int, slice_chars: int = SLICE):
-    """mapInArrow: (doc_id, lang, text, text_key) -> ASK, a row for each bucket that a slice has bigrams in; stores the slices."""
+    """mapInArrow: (doc_id, lang, text, text_key) -> ASK, the first turn's rows of each slice; stores the slices."""
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
@@ -204,8 +215,7 @@ def gather(folder: str, buckets: int, slice_chars: int = SLICE):
             s = Slice.of(lang, names, lengths.astype("<i8"), docs.astype("<i8"))
             name = s.store(folder)
             s.count(buckets)
-            rows = [(b, name, lang, pack_ascending(s.key[x:y]), pack(s.n[x:y])) for b, (x, y) in enumerate(zip(s.cut, s.cut[1:])) if x < y or b == 0]
-            yield _asks(rows)
+            yield _bigram_asks(s, name, lang, 0)
 
     def named(part: dict, held: dict) -> None:
         for lang, rows in part.items():
@@ -233,6 +243,20 @@ def gather(folder: str, buckets: int, slice_chars: int = SLICE):
     return run
 
 
+def ask_bigrams(folder: str, buckets: int, turn: int):
+    """mapInArrow: (slice, lang) -> ASK, a later turn's rows of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, lang in zip(*(batch.column(c).to_pylist() for c in ("slice", "lang"))):
+                s = Slice.load(folder, name)
+                s.count(buckets)
+                yield _bigram_asks(s, name, lang, turn)
+        release()
+
+    return run
+
+
 def _by_language(table: pa.Table) -> Iterator[tuple[str | None, list[str], list[bytes], list[bytes]]]:
     found: dict = {}
     for row in zip(*(table.column(c).to_pylist() for c in ("lang", "slice", "keys", "counts"))):
@@ -375,7 +399,15 @@ def scores(docs: DataFrame, slice_chars: int = SLICE) -> DataFrame:
         docs = materialize(docs, "texts")
     folder = new_path(docs.sparkSession, "perplexity")
     buckets = max(LEAST_BUCKETS, -(-input_bytes(docs) // BUCKET_BYTES))
-    bigrams = materialize(docs.mapInArrow(gather(folder, buckets, slice_chars), ASK).groupBy("bucket").applyInArrow(add_bigrams(folder), ANSWER), "bigrams")
+
+    def answered(asks: DataFrame, add, label: str) -> DataFrame:
+        return materialize_freed(asks.groupBy("bucket").applyInArrow(add(folder), ANSWER), label)
+
+    # a slice's row is small and its work is not: rows are dealt to as many tasks as there are buckets
+    turns = [answered(docs.mapInArrow(gather(folder, buckets, slice_chars), ASK), add_bigrams, "bigrams")]
+    slices = turns[0].where("bucket = 0").select("slice", "lang").repartition(buckets, "slice")
+    turns += [answered(slices.mapInArrow(ask_bigrams(folder, buckets, k), ASK), add_bigrams, "bigrams") for k in range(1, TURNS)]
+    bigrams = reduce(DataFrame.unionByName, turns)
 
     def answers(found: DataFrame, name: str) -> DataFrame:
         return found.groupBy("slice", "lang").agg(F.collect_list(F.struct("bucket", "path", "at", "size")).alias(name))
@@ -383,15 +415,14 @@ def scores(docs: DataFrame, slice_chars: int = SLICE) -> DataFrame:
     def sums(found: DataFrame, name: str, n: int) -> DataFrame:
         return found.groupBy(F.col("lang").alias(f"_l{name}")).agg(F.array(*(F.sum(F.col("sums")[k]) for k in range(n))).alias(name))
 
-    # a slice's row is small and its work is not: rows are dealt to as many tasks as there are buckets
-    words = materialize(answers(bigrams, "_bigrams").repartition(buckets, "slice").mapInArrow(ask_words(folder, buckets), ASK).groupBy("bucket").applyInArrow(add_words(folder), ANSWER), "words")
+    words = answered(answers(bigrams, "_bigrams").repartition(buckets, "slice").mapInArrow(ask_words(folder, buckets), ASK), add_words, "words")
     both = answers(bigrams, "_bigrams").join(answers(words, "_words").drop("lang"), "slice")
     for found, name, n in ((bigrams, "_c2", 4), (words, "_c1", 6)):
         both = both.join(small_enough(materialize(sums(found, name, n), "sums")), F.col("lang").eqNullSafe(F.col(f"_l{name}")))
     schema = "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_perplexity double, log_continuation double"
     dealt = both.select("slice", "lang", "_bigrams", "_words", "_c2", "_c1").repartition(buckets, "slice")
     scored = materialize(dealt.mapInArrow(scorer(folder, buckets), schema), "scored")
-    discard(docs.sparkSession, bigrams, words, folder)
+    discard(docs.sparkSession, *turns, words, folder)
     return scored
 
 

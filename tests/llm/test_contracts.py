@@ -1,6 +1,7 @@
 """The queries' columns over a whole small table, and the pipeline's stages, against brute force."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -256,6 +257,35 @@ def test_pipeline_scores_are_finite():
     assert np.isfinite(s.log_probabilities(s.n, stats, d, d, 9, 5, 3, 1, 400, len(s.n))).all()
 
 
+def test_quality_asks_buckets_in_turns(spark, monkeypatch):
+    # disk: a turn's shuffle files hold its share of the buckets, and are gone before the next turn
+    store, write, turns = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), quality.materialize_freed, []
+
+    def shuffled():
+        files = store.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    def watched(df, label):
+        before, out = shuffled(), write(df, label)
+        for _ in range(50):  # files are deleted by other threads
+            if not shuffled() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffled() - before
+        turns.append((label, {r.bucket for r in out.select("bucket").collect()}))
+        return out
+
+    monkeypatch.setattr(quality, "materialize_freed", watched)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "xx", "one"), (-2, "yy", None)], docs.schema))  # hardly a bucket each
+    assert quality.scores(docs, 100_000).count() == docs.count()
+    asked = [found for label, found in turns if label == "bigrams"]
+    assert [label for label, _ in turns] == ["bigrams"] * quality.TURNS + ["words"] and quality.TURNS > 1
+    assert sum(map(len, asked)) == len(set().union(*asked)) == quality.LEAST_BUCKETS
+    assert max(map(len, asked)) <= -(-quality.LEAST_BUCKETS // quality.TURNS)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
