@@ -29,3 +29,15 @@ def test_results_leave_in_slices(spark):
     for r in got:
         t = texts[r.id]
         assert (None if r.s is None else [tuple(x) for x in r.s], r.n) == ((None, None) if t is None else (plain.word_bounds(t), len(t)))
+
+
+def test_word_bounds_are_those_of_all_breaks():
+    for t in _texts(3_000):
+        at = sorted({0, len(t), *(m.start() for m in regex.finditer(r"(?w)\b", t))})
+        assert plain.word_bounds(t) == list(zip(at, at[1:]))
+        assert plain.words(t) == [t[a:b] for a, b in zip(at, at[1:])]
+
+
+def test_words_are_cut_without_a_match_object_each(monkeypatch):
+    monkeypatch.setattr(plain, "_BREAK", None)
+    assert plain.words("Hello, world!") == ["Hello", ",", " ", "world", "!"]
