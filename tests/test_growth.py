@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import regex
-import xxhash
-from pyspark.sql import functions as F
 
-from lexloom.functions import columns, plain
+from lexloom import plans
+from lexloom.functions import chunks, columns, grounding, plain, randoms, sketches, stems
+from lexloom.operators import near_dup
+from lexloom.streaming import json_repair as json_stream
 
 LETTERS = list("ab Z0 9_.,;:'\"-\r\n\t  ‍́é中文カกำ각🇫🇷👩·אߺ\x0b﻿­#ßİΣ!?")
 
@@ -41,3 +43,32 @@ def test_word_bounds_are_those_of_all_breaks():
 def test_words_are_cut_without_a_match_object_each(monkeypatch):
     monkeypatch.setattr(plain, "_BREAK", None)
     assert plain.words("Hello, world!") == ["Hello", ",", " ", "world", "!"]
+
+
+def _simhash(text: str, bits: int) -> int:
+    prime, h0 = ((1 << 40) + 0x1B3, 0xCBF29CE484222325) if bits == 64 else ((1 << 88) + 0x13B, 0x6C62272E07BB014262B821756295C58D)
+    votes = [0] * bits
+    for w in plain.real_words(text):
+        h = h0
+        for byte in w.encode():
+            h = (h ^ byte) * prime % (1 << bits)
+        for i in range(bits):
+            votes[i] += 1 if h >> i & 1 else -1
+    return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+
+def test_simhash_hashes_each_token_once(monkeypatch):
+    for t in [*_texts(200), "one two three four " * 9 + "w" * 100]:
+        assert all(plain.simhash(t, bits) == _simhash(t, bits) for bits in (64, 128)) and plain.simhash(t, 128, 2) == _simhash(t, 128)
+    asked = Counter()
+    monkeypatch.setattr(plain, "_kept_fnv", lambda w, bits: asked.update([w]) or plain._fnv(w, bits))
+    plain.simhash("a b a b a " * 500, 128)
+    assert asked == {"a": 1, "b": 1}
+
+
+def test_words_of_simple_texts():
+    rng = random.Random(3)
+    some = list("aZ09_.,;: \r\nés") * 12 + [chr(i) for i in range(256)]
+    for _ in range(20_000):
+        t = "".join(rng.choice(some) for _ in range(rng.randint(0, 9)))
+        assert plain.words(t) == [w for w in plain._APART.split(t) if w]
