@@ -72,3 +72,26 @@ def test_words_of_simple_texts():
     for _ in range(20_000):
         t = "".join(rng.choice(some) for _ in range(rng.randint(0, 9)))
         assert plain.words(t) == [w for w in plain._APART.split(t) if w]
+
+
+def test_near_duplicates_by_simhash_make_no_pairs(spark, monkeypatch):
+    labels, rng = [], random.Random(6)
+    real = near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, label: labels.append(label) or real(df, label))
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    base = [rng.choice("abcdef") + str(i) for i in range(60)]
+    texts = [None, ""]
+    for _ in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = "z" + str(rng.randint(0, 9))
+        texts.append(" ".join(w))
+    got = near_dup.dedup_near_dup(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.9, "simhash").collect()
+    kept, want = [], {}
+    sigs = [plain.simhash(t or "") for t in texts]
+    for i, s in enumerate(sigs):
+        want[i] = next((k for k in kept if (sigs[k] ^ s).bit_count() <= 6), i)
+        if want[i] == i:
+            kept.append(i)
+    assert {r.id: r.keep_id for r in got} == want and len(kept) > 3
+    assert "links" not in labels
