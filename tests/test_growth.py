@@ -95,3 +95,11 @@ def test_near_duplicates_by_simhash_make_no_pairs(spark, monkeypatch):
             kept.append(i)
     assert {r.id: r.keep_id for r in got} == want and len(kept) > 3
     assert "links" not in labels
+
+
+def test_seeded_tokens_are_made_together():
+    rng = random.Random(7)
+    seeds = [0, 1, 42, -1, *(rng.randrange(-(2**63), 2**63) for _ in range(60))]
+    for letters, n in ((randoms.B62, 22), ("abcdef", 12), ("x", 3), ("abc", 0), (randoms.HEX_LOWER, 17)):
+        assert randoms.random_strings(n, letters, seeds) == [randoms.random_string(n, letters, s) for s in seeds]
+    assert randoms.random_strings(4, "ab", []) == []
