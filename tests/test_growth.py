@@ -103,3 +103,14 @@ def test_seeded_tokens_are_made_together():
     for letters, n in ((randoms.B62, 22), ("abcdef", 12), ("x", 3), ("abc", 0), (randoms.HEX_LOWER, 17)):
         assert randoms.random_strings(n, letters, seeds) == [randoms.random_string(n, letters, s) for s in seeds]
     assert randoms.random_strings(4, "ab", []) == []
+
+
+@pytest.mark.parametrize("name", ["random_b64url"])
+def test_tokens_of_a_table_go_by_slices(spark, monkeypatch, name):
+    def never(*_, **__):
+        raise AssertionError("a call a row")
+
+    monkeypatch.setattr(randoms, "random_string", never)
+    monkeypatch.setattr(randoms, name, never) if hasattr(randoms, name) else None
+    got = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.count() == 1_000 and got.where("value IS NULL").count() == 0
