@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexloom.functions.columns import lift
 from lexloom.functions.json_repair import repair_json
 
 OUT = "stream_id string, value string, chunks long, ended boolean"
 STATE = "seqs array<long>, chunks array<string>, last long"
 
 
-def _take(frame: pd.DataFrame, held: dict[int, str], last: int) -> int:
-    """Put a frame's chunks into held; the last chunk's seq, -1 if it isn't known."""
-    for seq, chunk, end in zip(frame["seq"], frame["chunk"], frame["last"]):
+def _take(chunks: Iterable[tuple], held: dict[int, str], last: int) -> int:
+    """Put chunks, (seq, chunk, last), into held; the last chunk's seq, -1 if it isn't known."""
+    for seq, chunk, end in chunks:
         held.setdefault(int(seq), chunk if isinstance(chunk, str) else "")
         if last < 0 and not pd.isna(end) and bool(end):
             last = int(seq)
@@ -44,31 +46,32 @@ def repair_json_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def joined(key: tuple, held: dict, size: int, ended: bool) -> pd.DataFrame:
-        value = repair_json("".join(held[i] for i in range(size)))
-        return pd.DataFrame({"stream_id": [key[0]], "value": [value], "chunks": [size], "ended": [ended]})
+    def joined(held: dict, size: int, ended: bool) -> dict:
+        return {"value": repair_json("".join(held[i] for i in range(size))), "chunks": size, "ended": ended}
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, texts, last = state.get if state.exists else ([], [], -1)
         held = dict(zip(map(int, seqs), texts))
         for frame in () if state.hasTimedOut else frames:
-            last = _take(frame, held, last)
+            last = _take(zip(frame["seq"], frame["chunk"], frame["last"]), held, last)
         size, ended = _whole(held, last)
         if ended or state.hasTimedOut:
             if state.exists:
                 state.remove()
-            yield joined(key, held, size, ended)
+            yield pd.DataFrame([{"stream_id": key[0], **joined(held, size, ended)}])
         else:
             state.update((list(held), list(held.values()), last))
             state.setTimeoutDuration(idle_ms)
 
-    def at_once(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def at_once(chunks: list[dict]) -> dict | None:
         held = {}
-        size, ended = _whole(held, _take(frame, held, -1))
-        return joined(key, held, size, True) if ended else joined(key, {}, 0, False)[:0]
+        size, ended = _whole(held, _take((c.values() for c in chunks), held, -1))
+        return joined(held, size, ended) if ended else None
 
     rows = chunks.selectExpr("cast(stream_id AS string) AS stream_id", "cast(seq AS long) AS seq", "cast(chunk AS string) AS chunk", "last")
     streams = rows.where("stream_id IS NOT NULL AND seq IS NOT NULL").groupBy("stream_id")
     if chunks.isStreaming:
         return streams.applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return streams.applyInPandas(at_once, OUT)
+    # streams are many and short: they go to Python in batches, not one at a time
+    found = streams.agg(F.collect_list(F.struct("seq", "chunk", "last")).alias("_c")).select("stream_id", lift(at_once, "struct<value:string,chunks:long,ended:boolean>", "_c").alias("_r"))
+    return found.where("_r IS NOT NULL").select("stream_id", "_r.*")

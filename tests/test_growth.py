@@ -114,3 +114,10 @@ def test_tokens_of_a_table_go_by_slices(spark, monkeypatch, name):
     monkeypatch.setattr(randoms, name, never) if hasattr(randoms, name) else None
     got = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.count() == 1_000 and got.where("value IS NULL").count() == 0
+
+
+def test_streams_of_a_table_are_not_taken_one_at_a_time(spark):
+    rows = [("a", 1, "2]", True), ("a", 0, "[1, ", False), ("a", None, "x", True), (None, 0, "x", True), ("b", 0, None, True), ("c", 0, "[", None), ("d", 2, "}", True), ("d", 0, "{", False)]
+    found = json_stream.repair_json_stream(spark.createDataFrame(rows, "stream_id string, seq long, chunk string, last boolean"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "[1, 2]", 2, True), ("b", "", 1, True)]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
