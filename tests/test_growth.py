@@ -121,3 +121,21 @@ def test_streams_of_a_table_are_not_taken_one_at_a_time(spark):
     found = json_stream.repair_json_stream(spark.createDataFrame(rows, "stream_id string, seq long, chunk string, last boolean"))
     assert sorted(tuple(r) for r in found.collect()) == [("a", "[1, 2]", 2, True), ("b", "", 1, True)]
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_draws_are_those_of_numpy():
+    rng = random.Random(8)
+    keys = [0, 1, 2**63 - 1, 2**63, *(rng.randrange(2**64) for _ in range(40))]
+    for seed in (0, 7, 2**63 + 5):
+        with np.errstate(invalid="ignore"):
+            want = [np.random.Generator(np.random.Philox(key=[seed, k])).random(81).tolist() for k in keys]
+        assert sketches.philox(seed, np.array(keys, np.uint64), 81).tolist() == want
+
+
+def test_weighted_signatures_with_few_kept_draws(monkeypatch):
+    want = [sketches.weighted_minhash_signature(t, 16) for t in _texts(60)]
+    monkeypatch.setattr(sketches, "TOKENS", 5)
+    monkeypatch.setattr(sketches, "_kept_draws", lambda n, seed: few)
+    few = sketches._Draws(16, 0)
+    few.table = few.table[:7].copy()
+    assert [sketches.weighted_minhash_signature(t, 16) for t in _texts(60)] == want
