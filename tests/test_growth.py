@@ -139,3 +139,9 @@ def test_weighted_signatures_with_few_kept_draws(monkeypatch):
     few = sketches._Draws(16, 0)
     few.table = few.table[:7].copy()
     assert [sketches.weighted_minhash_signature(t, 16) for t in _texts(60)] == want
+
+
+def test_a_word_is_stemmed_once():
+    stems._kept_stem.cache_clear()
+    assert stems.apply_terms("Running runs running " * 50, "english") == "run run run " * 50
+    assert stems._kept_stem.cache_info().misses == 3
