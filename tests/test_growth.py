@@ -145,3 +145,15 @@ def test_a_word_is_stemmed_once():
     stems._kept_stem.cache_clear()
     assert stems.apply_terms("Running runs running " * 50, "english") == "run run run " * 50
     assert stems._kept_stem.cache_info().misses == 3
+
+
+def test_chunk_quality_folds_a_chunk_once(monkeypatch):
+    text = "One two three. Four five six! Seven eight? Nine ten eleven twelve. Last one here."
+    spans = plain.chunk_by_sentences(text, 3)
+    seen = Counter()
+    monkeypatch.setattr(chunks, "shingles", lambda t: seen.update([t]) or plain.shingles(t), raising=False)
+    got = chunks.chunk_quality(spans, text)
+    whole = [(a, b, next((c for c in sorted(spans) if c[0] <= a and c[1] >= b), None)) for a, b in plain.sentence_bounds(text)]
+    dice = [plain.shingle_dice(text[a:b], text[slice(*c)]) for a, b, c in whole if c]
+    assert got["cohesion"] == sum(dice) / len(dice)
+    assert all(seen[text[a:b]] == 1 for a, b in spans)
