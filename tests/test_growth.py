@@ -105,7 +105,7 @@ def test_seeded_tokens_are_made_together():
     assert randoms.random_strings(4, "ab", []) == []
 
 
-@pytest.mark.parametrize("name", ["random_b64url", "random_hex"])
+@pytest.mark.parametrize("name", ["random_b64url", "random_hex", "random_string"])
 def test_tokens_of_a_table_go_by_slices(spark, monkeypatch, name):
     def never(*_, **__):
         raise AssertionError("a call a row")
