@@ -157,3 +157,11 @@ def test_chunk_quality_folds_a_chunk_once(monkeypatch):
     dice = [plain.shingle_dice(text[a:b], text[slice(*c)]) for a, b, c in whole if c]
     assert got["cohesion"] == sum(dice) / len(dice)
     assert all(seen[text[a:b]] == 1 for a, b in spans)
+
+
+def test_maps_are_taken_together():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 900):
+        x = rng.integers(0, sketches.P61, n, np.uint64)
+        want = [int(sketches._affine(a, b, x).min()) for a, b in sketches._maps(128, 0)]
+        assert sketches._least(128, 0, x).tolist() == want == sketches._least(128, 0, x, 64).tolist()
