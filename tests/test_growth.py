@@ -165,3 +165,12 @@ def test_maps_are_taken_together():
         x = rng.integers(0, sketches.P61, n, np.uint64)
         want = [int(sketches._affine(a, b, x).min()) for a, b in sketches._maps(128, 0)]
         assert sketches._least(128, 0, x).tolist() == want == sketches._least(128, 0, x, 64).tolist()
+
+
+def test_windows_are_compared_together():
+    rng = random.Random(9)
+    for n in (1, 7, 60, 64, 65):
+        claim, source = ("".join(rng.choice("abcdé") for _ in range(k)) for k in (n, 3 * n + 5))
+        score = grounding._scorer(claim, source)
+        want = [plain.similarity_ratio(claim, w) * (n + len(w)) / (2 * n) for w in (source[i : i + n] for i in range(len(source)))]
+        assert list(score(range(len(source)))) == want
