@@ -174,3 +174,9 @@ def test_windows_are_compared_together():
         score = grounding._scorer(claim, source)
         want = [plain.similarity_ratio(claim, w) * (n + len(w)) / (2 * n) for w in (source[i : i + n] for i in range(len(source)))]
         assert list(score(range(len(source)))) == want
+
+
+def test_tokens_are_framed_once():
+    for t in _texts(100):
+        tokens = [w.encode() for w in plain.fold(t)]
+        assert sketches._hashes(t, 3) == {sketches._hash(tokens[i : i + 3]) for i in range(len(tokens) - 2)}
