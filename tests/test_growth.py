@@ -180,3 +180,11 @@ def test_tokens_are_framed_once():
     for t in _texts(100):
         tokens = [w.encode() for w in plain.fold(t)]
         assert sketches._hashes(t, 3) == {sketches._hash(tokens[i : i + 3]) for i in range(len(tokens) - 2)}
+
+
+def test_truncation_looks_no_further_than_its_cut(monkeypatch):
+    for t in _texts(500):
+        ends = [b for _, b in plain.word_bounds(t) if b <= 30]
+        assert plain.truncate_to_bounds(t, 30) == (t if len(t) <= 30 else t[: ends[-1]].rstrip() if ends else "")
+    monkeypatch.setattr(plain, "word_bounds", None)
+    assert plain.truncate_to_bounds("ab " * 1_000, 7) == "ab ab"
