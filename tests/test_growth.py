@@ -10,7 +10,7 @@ import regex
 
 from lexloom import plans
 from lexloom.functions import chunks, columns, grounding, plain, randoms, sketches, stems
-from lexloom.operators import near_dup
+from lexloom.operators import near_dup, retrieval
 from lexloom.streaming import json_repair as json_stream
 
 LETTERS = list("ab Z0 9_.,;:'\"-\r\n\t  ‍́é中文カกำ각🇫🇷👩·אߺ\x0b﻿­#ßİΣ!?")
@@ -188,3 +188,17 @@ def test_truncation_looks_no_further_than_its_cut(monkeypatch):
         assert plain.truncate_to_bounds(t, 30) == (t if len(t) <= 30 else t[: ends[-1]].rstrip() if ends else "")
     monkeypatch.setattr(plain, "word_bounds", None)
     assert plain.truncate_to_bounds("ab " * 1_000, 7) == "ab ab"
+
+
+def test_tf_idf_packs_counts_by_term(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TOKENS", 7)
+    rng = random.Random(10)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, "", *(" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(9))])) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.term): (r.tf, r.df, round(r.score, 9)) for r in retrieval.tf_idf(docs).collect()}
+    tf = Counter((i, w) for i, t in rows for w in (t or "").split())
+    df = Counter(w for _, w in tf)
+    assert got == {(i, w): (n, df[w], round(n * (np.log((1 + len(rows)) / (1 + df[w])) + 1), 9)) for (i, w), n in tf.items()}
+    words = pa.array([["a", "b", "a"], None, ["a"], ["b"]], pa.list_(pa.string()))
+    found = retrieval._postings(iter([pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2]), words], ["doc_id", "words"])]))
+    assert sorted((r["term"], r["docs"], r["tfs"]) for b in found for r in b.to_pylist()) == [("a", [1], [3]), ("b", [1], [1]), ("b", [2], [1])]
