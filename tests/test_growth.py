@@ -202,3 +202,12 @@ def test_tf_idf_packs_counts_by_term(spark, monkeypatch):
     words = pa.array([["a", "b", "a"], None, ["a"], ["b"]], pa.list_(pa.string()))
     found = retrieval._postings(iter([pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2]), words], ["doc_id", "words"])]))
     assert sorted((r["term"], r["docs"], r["tfs"]) for b in found for r in b.to_pylist()) == [("a", [1], [3]), ("b", [1], [1]), ("b", [2], [1])]
+
+
+def test_shingle_sets_are_ordered_by_few_counts(spark):
+    sets = spark.createDataFrame([(1, [-5, 3, 1 << 60]), (2, [3]), (3, [])], "id long, sig array<long>")
+    counts = near_dup._bucket_counts(sets.select("sig"))
+    n = np.frombuffer(counts.value, np.int64)
+    assert n.sum() == 4 and len(n) == 1 << near_dup.BITS and n[0] == 2
+    got = {r.id: (r.n, r.keys) for r in sets.mapInArrow(near_dup._prefixes(counts, 0.6), "id long, n long, keys array<long>").collect()}
+    assert got == {1: (3, [-5, 1 << 60]), 2: (1, [3]), 3: (0, [])}
